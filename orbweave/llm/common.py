@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python. Texts can be long, so batches are kept short.
 BATCH_ROWS = 256
@@ -49,3 +50,18 @@ def unstage(df: DataFrame) -> None:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, row: str, top: int = 256) -> DataFrame:
+    """Inner join on a non-negative bigint ``key`` that is unique in ``right``, where a few keys may hold most of ``left``.
+
+    The ``top`` keys of largest ``weight`` are joined by broadcast (at most ``top`` rows), so no key left for the shuffle
+    holds more than 1/top of the rows. ``row`` is a bigint of ``left`` that differs from row to row.
+    """
+    extra = [c for c in right.columns if c != key]
+    hot = right.orderBy(F.desc(weight), key).limit(top).select(F.col(key).alias("_hot"), F.struct(*extra).alias("_hot_values"))
+    cold = right.select(F.col(key).alias("_cold"), F.struct(*extra).alias("_cold_values"))
+    met = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    met = met.withColumn("_cold_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(-1 - F.abs(F.col(row))))
+    met = met.join(cold, F.col("_cold_key") == F.col("_cold"), "left")
+    return met.select(*left.columns, *[F.coalesce(F.col(f"_hot_values.{c}"), F.col(f"_cold_values.{c}")).alias(c) for c in extra])
