@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bpe, kd_sharding, packing, pii, secret_scan, simhash
+from . import block_naming, bpe, kd_sharding, packing, pii, secret_scan, simhash, toxicity
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, grammar)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, ids=False)
 
@@ -41,5 +48,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_sharding, op4_bpe, op5_pii, op7_packing, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_sharding, op4_bpe, op5_pii, op6_toxicity, op7_packing, op8_simhash)}
 ORACLE_SQL: dict[str, str] = {}
