@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bpe, kd_sharding, packing, pii, secret_scan, simhash, toxicity
+from . import block_naming, bpe, kd_sharding, packing, pii, rp_forest, secret_scan, simhash, toxicity
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -48,5 +48,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_sharding, op4_bpe, op5_pii, op6_toxicity, op7_packing, op8_simhash)}
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_sharding, op4_bpe, op5_pii, op6_toxicity, op7_packing, op8_simhash, op9_embeddings)}
 ORACLE_SQL: dict[str, str] = {}
