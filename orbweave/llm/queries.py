@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_naming, bpe, kd_sharding, packing, pii, rp_forest, secret_scan, simhash, toxicity
+from . import attention_lm, block_naming, bpe, kd_sharding, packing, pii, rp_forest, secret_scan, simhash, toxicity
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -52,5 +52,9 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_sharding, op4_bpe, op5_pii, op6_toxicity, op7_packing, op8_simhash, op9_embeddings)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_sharding, op4_bpe, op5_pii, op6_toxicity, op7_packing, op8_simhash, op9_embeddings, op10_lm_scores)}
 ORACLE_SQL: dict[str, str] = {}
