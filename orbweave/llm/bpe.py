@@ -10,11 +10,14 @@ Nulls count as empty texts, and an empty text has no tokens. Rows may repeat; ex
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import short_batches
 
 #: Entries of a worker's cache of chunks; it is emptied when full, which changes speed only.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 
 # Fixed values of the vocabulary format.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -34,7 +37,6 @@ WORD_END = "</w>"
 #: Letters up to here lower-case and compose alike in every Unicode library.
 _SIMPLE = re.compile(r"[\x00-\x1b\x20-\x7e\xa1-\xff]*")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-_NEVER = np.int64(1 << 40)
 _LAST = 1 << 40
 
 
@@ -64,17 +66,19 @@ class WordBpe:
         ids = np.array([[self.vocab[a], self.vocab[b], self.vocab[a + b]] for a, b in pairs])
         ranks = np.arange(len(ids))
         self.rank = {a << 20 | b: r for r, (a, b, _) in enumerate(ids.tolist())}
-        self.result = ids[:, 2].tolist()
+        self.results = ids[:, 2]
+        self.result = self.results.tolist()
         self.left[ids[:, 2]], self.right[ids[:, 2]], self.made[ids[:, 2]] = ids[:, 0], ids[:, 1], ranks
         keys = (ids[:, 0] << 20) | ids[:, 1]
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], ranks[order]
-        self.longest = max(map(len, self.vocab))
+        self._slots(keys, ranks)
         self.alphabet = byte_alphabet()
         self.table = {b: c for b, c in enumerate(self.alphabet)}
         self.find = regex.compile(PRE_TOKEN).findall
-        self.sound: dict[int, bool] = {}
-        self.fine_pairs: dict[int, bool] = {}
+        self.sound: set[int] = set()
+        self.unsound: set[int] = set()
+        self.fine_pairs: set[int] = set()
+        self.bad_pairs: set[int] = set()
+        self.starts = {w[:i] for w in self.vocab for i in range(1, len(w) + 1)}
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.path, self._library = path, None
@@ -102,34 +106,84 @@ class WordBpe:
 
     def _is_sound(self, token: int) -> bool:
         """Whether the merges make this token of its own characters."""
-        if token not in self.sound:
-            parts, stack = [], [token]
-            while stack:
-                t = stack.pop()
-                if self.made[t] < 0:
-                    parts.append(t)
-                else:
-                    stack += [int(self.right[t]), int(self.left[t])]
-            self.sound[token] = self._merge(parts) == [token]
-        return self.sound[token]
+        parts, stack = [], [token]
+        while stack:
+            t = stack.pop()
+            if self.made[t] < 0:
+                parts.append(t)
+            else:
+                stack += [int(self.right[t]), int(self.left[t])]
+        return self._merge(parts) == [token]
 
     def _propose(self, word: str) -> list[int]:
         """Greedy longest match; the last character carries the word's end."""
-        out, i, n, vocab = [], 0, len(word), self.vocab
+        out, i, n, get, starts = [], 0, len(word), self.vocab.get, self.starts
         while i < n:
-            t = vocab.get(word[i:] + WORD_END) if n - i <= self.longest else None
+            t = get(word[i:] + WORD_END)
             if t is not None:
                 out.append(t)
                 break
-            for j in range(min(n - 1, i + self.longest), i, -1):
-                t = vocab.get(word[i:j])
+            best, end, j = None, i, i + 1
+            while j < n and (part := word[i:j]) in starts:
+                t = get(part)
                 if t is not None:
-                    out.append(t)
-                    i = j
-                    break
-            else:  # one character is left, and it ends the word
-                out.append(vocab[word[i] + WORD_END])
-                break
+                    best, end = t, j
+                j += 1
+            out.append(best)
+            i = end
+        return out
+
+    def _slots(self, keys: np.ndarray, ranks: np.ndarray) -> None:
+        """A hash table of the merges' ranks that numpy can look up: few of its slots are taken."""
+        self.shift = np.uint64(64 - max(10, int(len(keys) * 8).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.slot_keys, self.slot_ranks, self.probes = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int64), 0
+        at = self._home(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            self.probes += 1
+            free = self.slot_keys[at[left]] < 0
+            took, first = np.unique(at[left[free]], return_index=True)
+            winners = left[free][first]
+            self.slot_keys[took], self.slot_ranks[took] = keys[winners], ranks[winners]
+            left = left[self.slot_keys[at[left]] != keys[left]]
+            at[left] += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def ranks_of(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of merges by pair; _LAST where there is none."""
+        at = self._home(keys)
+        out = np.full(keys.shape, _LAST, np.int64)
+        for step in range(self.probes):
+            hit = self.slot_keys[at + step] == keys
+            out[hit] = self.slot_ranks[(at + step)[hit]]
+        return out
+
+    def merge_many(self, words: list[list[int]]) -> list[list[int]]:
+        """The merges themselves, for words of characters' ids: in every step each word makes its first merge.
+
+        Words of one length go together: each step shortens all that still have a merge by one.
+        """
+        out: list = [None] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(lengths):
+            who = np.flatnonzero(lengths == n)
+            ids = np.array([words[i] for i in who], np.int64).reshape(len(who), n)
+            while ids.shape[1] > 1:
+                ranks = self.ranks_of(ids[:, :-1] << 20 | ids[:, 1:])
+                at = ranks.argmin(1)
+                best = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
+                live = best < _LAST
+                for i, row in zip(who[~live].tolist(), ids[~live].tolist()):
+                    out[i] = row
+                who, ids, at, best = who[live], ids[live], at[live], best[live]
+                ids[np.arange(len(ids)), at] = self.results[best]
+                columns = np.arange(ids.shape[1] - 1)[None, :]
+                ids = np.take_along_axis(ids, columns + (columns > at[:, None]), 1)
+            for i, row in zip(who.tolist(), ids.tolist()):
+                out[i] = row
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,13 +193,12 @@ class WordBpe:
         exists: until the merge that swallowed it. Of equal merges the left one comes first.
         """
         a, b = a.astype(np.int64), b.astype(np.int64)
-        until_a, until_b = np.full(len(a), _NEVER), np.full(len(a), _NEVER)
+        until_a, until_b = np.full(len(a), _LAST), np.full(len(a), _LAST - 1)
         good, live = np.ones(len(a), bool), np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
             key = (x << 20) | y
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            rank = np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NEVER + 1)
+            rank = self.ranks_of(key)
             bad = (rank < until_a[live]) | (rank <= until_b[live])
             good[live[bad]] = False
             live = live[~bad]
@@ -162,19 +215,28 @@ class WordBpe:
     def learn(self, words: list[str]) -> None:
         """Tokens of words in the byte alphabet, into ``self.words``."""
         proposed = [self._propose(w) for w in words]
-        pairs = {a << 20 | b for p in proposed for a, b in zip(p, p[1:])}
-        pairs -= self.fine_pairs.keys()
+        borders = [[a << 20 | b for a, b in zip(p, p[1:])] for p in proposed]
+        pairs = set(chain.from_iterable(borders)) - self.fine_pairs - self.bad_pairs
         if pairs:
             flat = np.fromiter(pairs, np.int64, len(pairs))
-            self.fine_pairs.update(zip(flat.tolist(), self.compatible(flat >> 20, flat & 0xFFFFF).tolist()))
-        fine, sound = self.fine_pairs, self.sound
-        for w, p in zip(words, proposed):
-            if not (all(sound[t] if t in sound else self._is_sound(t) for t in p) and all(fine[a << 20 | b] for a, b in zip(p, p[1:]))):
-                p = self._merge(self._characters(w))
-                self.exact_merges += 1
-            self.words[w] = np.array(p, "<u4").tobytes()
-        if len(self.fine_pairs) > CACHE_ENTRIES:
+            good = self.compatible(flat >> 20, flat & 0xFFFFF)
+            self.fine_pairs.update(flat[good].tolist())
+            self.bad_pairs.update(flat[~good].tolist())
+        for t in set(chain.from_iterable(proposed)) - self.sound - self.unsound:
+            (self.sound if self._is_sound(t) else self.unsound).add(t)
+        fine, sound = self.fine_pairs.issuperset, self.sound.issuperset
+        known, failing = self.words, []
+        for w, p, keys in zip(words, proposed, borders):
+            if fine(keys) and sound(p):
+                known[w] = pack(f"<{len(p)}I", *p)
+            else:
+                failing.append(w)
+        self.exact_merges += len(failing)
+        for w, p in zip(failing, self.merge_many([self._characters(w) for w in failing])):
+            known[w] = pack(f"<{len(p)}I", *p)
+        if len(self.fine_pairs) + len(self.bad_pairs) > CACHE_ENTRIES:
             self.fine_pairs.clear()
+            self.bad_pairs.clear()
 
     # -- texts -----------------------------------------------------------------------------------------------------
 
@@ -191,32 +253,35 @@ class WordBpe:
             self._library = Tokenizer.from_file(self.path)
         return [x for x, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))]
 
-    def _learn_chunks(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > CACHE_ENTRIES:
+    def _learn_chunks(self, chunks: set[str]) -> bool:
+        """Tokens of chunks, into ``self.chunks``; whether it had to be emptied first."""
+        emptied = len(self.chunks) > 0 and len(self.chunks) + len(chunks) > CACHE_ENTRIES
+        if emptied:
             self.chunks.clear()
             self.words.clear()
-        pieces = {c: self._pieces(c) for c in chunks}
-        new = {w for p in pieces.values() for w in p} - self.words.keys()
+        pieces = {c: [c.lower()] if c.isalpha() and c.isascii() else self._pieces(c) for c in chunks}
+        new = set(chain.from_iterable(pieces.values())).difference(self.words)
         if new:
             self.learn(list(new))
         words = self.words
         for c, p in pieces.items():
             self.chunks[c] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
+        return emptied
 
     def encode_plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian 32-bit integers; strings of special tokens count as ordinary text."""
         split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        cache = self.chunks
-        new = set().union(*split) - cache.keys() if len(split) < 2 else {c for s in split for c in s if c not in cache}
-        if new:
-            self._learn_chunks(new)
-            if len(self.chunks) < len(new) or any(c not in cache for s in split for c in s[:1]):
-                self._learn_chunks({c for s in split for c in s if c not in cache})
+        new = set(chain.from_iterable(split)).difference(self.chunks)
+        collects = gc.isenabled()
+        gc.disable()  # learning makes very many lists and no cycle
         try:
-            return [b"".join([cache[c] for c in s]) for s in split]
-        except KeyError:  # the cache was emptied on the way
-            self._learn_chunks({c for s in split for c in s if c not in cache})
-            return [b"".join([cache[c] for c in s]) for s in split]
+            if new and self._learn_chunks(new):  # the cache was emptied on the way
+                self._learn_chunks(set(chain.from_iterable(split)).difference(self.chunks))
+        finally:
+            if collects:
+                gc.enable()
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of texts as the public library gives them without added tokens: strings of special tokens are those."""
