@@ -105,3 +105,43 @@ def scan_documents(docs: DataFrame, ledger: str | None = None, id_col: str = "do
     met = met.join(near, F.col("_key") == F.col("_cold"), "left")
     value = lambda c: F.coalesce(F.col(f"_h.{c}"), F.col(f"_c.{c}")).alias(c)
     return met.select(F.col("_id").alias(id_col), *(value(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")), "blob")
+
+
+def redact_documents(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every finding in the text replaced by its kind in brackets; all rows and columns stay.
+
+    Of overlapping findings the union is replaced, under the kind that begins it. ``length_col``, where there is one,
+    follows the text. Texts are joined with findings by blob, and only blobs with findings take part.
+    """
+    short_batches(docs.sparkSession)
+    found = scan_documents(docs, ledger, id_col, text_col).where("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    met = docs.join(found, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_blob"), "left").drop("_blob")
+    at = docs.columns.index(text_col)
+    long_at = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, texts = batch.columns[:-1], batch.column(at).to_pylist()
+            lengths = batch.column(long_at).to_pylist() if long_at is not None else []
+            for i, spans in enumerate(batch.column(len(columns)).to_pylist()):
+                if spans:
+                    texts[i] = replace_spans(texts[i], spans)
+                    if lengths:
+                        lengths[i] = len(texts[i])
+            columns[at] = pa.array(texts, columns[at].type)
+            if lengths:
+                columns[long_at] = pa.array(lengths, columns[long_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    return met.mapInArrow(run, docs.schema)
+
+
+def replace_spans(text: str, spans: str) -> str:
+    """The text with listed spans (kind:start:end, by start) replaced by [kind]."""
+    out, at = [], 0
+    for kind, start, end in (x.split(":") for x in spans.split(",")):
+        if int(start) >= at:
+            out += [text[at : int(start)], f"[{kind}]"]
+        at = max(at, int(end))
+    return "".join(out) + text[at:]

@@ -209,3 +209,10 @@ def _back(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     met = met.withColumn("_done", F.col("_hot").isNotNull()).withColumn("_key", F.when(F.col("_done"), F.monotonically_increasing_id()).otherwise(F.col("fingerprint")))
     met = met.join(cold.withColumn("_open", F.lit(False)), (F.col("_key") == F.col("_cold")) & (F.col("_done") == F.col("_open")), "left")
     return met.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.coalesce("_hot_id", "_cold_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the least id of their group, all columns. Needs ids that differ from row to row."""
+    groups = near_duplicates(docs, id_col, text_col)
+    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
