@@ -103,7 +103,7 @@ def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     rows = stage(rows.withColumn("node", F.lit(1).cast("long")), "points")
     spans = rows.agg(*[(F.max(f"d{i}") - F.min(f"d{i}")).alias(f"s{i}") for i in range(len(dims))]).first()
     whole = tuple(spans[f"s{i}"] or 0 for i in range(len(dims)))
-    leaves = {1: shards}  # node -> shards below it
+    leaves = {1: shards if total else 1}  # node -> shards below it; without rows there is nothing to split
     while any(n > 1 for n in leaves.values()):
         split = {k: n for k, n in leaves.items() if n > 1}
         plan = _split(rows, {k: whole for k in split}, {k: (n // 2) / n for k, n in split.items()}, len(dims))
