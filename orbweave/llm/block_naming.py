@@ -5,17 +5,17 @@ least occurrence number among them; then adjacent names are paired and the pairs
 until each document has a single name. Two documents have the same name after the same number of rounds exactly if they
 have equal texts: names stand for whole blocks that were compared as strings, so no hash can collide.
 
-DataFrame functions only. Blocks that very many rows share are named by broadcast (their number is fixed), the others by
-a shuffle on the block itself. Nulls count as empty texts, which are equal to one another and to texts of white space.
+DataFrame functions only. Blocks that very many rows share are named by broadcast (their number is fixed), the others in
+a window over the block itself, so texts are shuffled once. Nulls count as empty texts, which are equal to one another and to texts of white space.
 Rows may repeat (each is a row of its own; one stays); extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, stage
+from .common import join_hot, stage, unstage
 
 #: Code points in a block.
 BLOCK = 8192
@@ -30,34 +30,33 @@ def normalised(text: Column) -> Column:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, at, blocks, block, head): a row per block; the first block of a text carries what is known of the row."""
+    """(row, at, blocks, block, h, head, occurrence): a row per block with its hash; a text's first block carries what is known of the row."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select("id", F.monotonically_increasing_id().alias("row"), F.length("text").alias("chars"), normalised(F.col("text")).alias("norm"))
     base = base.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.length("norm") / BLOCK)).cast("int"))
     head = F.struct("id", "chars", F.sha2("norm", 256).alias("sha"))
     cut = F.when(F.col("blocks") == 1, F.array("norm")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.substring("norm", i * BLOCK + 1, F.lit(BLOCK))))
     out = base.select("row", "blocks", head.alias("head"), F.posexplode(cut).alias("at", "block"))
-    return out.select("row", "at", "blocks", "block", F.when(F.col("at") == 0, F.col("head")).alias("head"), F.monotonically_increasing_id().alias("occurrence"))
+    return out.select("row", "at", "blocks", "block", F.xxhash64("block").alias("h"), F.when(F.col("at") == 0, F.col("head")).alias("head"), F.monotonically_increasing_id().alias("occurrence"))
 
 
 def _name_blocks(rows: DataFrame) -> DataFrame:
     """Rows with ``block`` replaced by its name."""
-    hashed = rows.select(F.xxhash64("block").alias("h"))
-    hot = [r["h"] for r in hashed.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(HOT_BLOCKS).collect()]
-    if not hot:
-        return rows.withColumn("name", F.col("occurrence")).drop("block")
-    is_hot = F.xxhash64("block").isin(hot)
-    name = lambda x: x.groupBy("block").agg(F.min("occurrence").alias("name"))
+    hot = [r["h"] for r in rows.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(HOT_BLOCKS).collect()]
     keep = ["row", "at", "blocks", "head", "name"]
-    near = rows.where(is_hot)
-    near = near.join(F.broadcast(name(near.select("block", "occurrence"))), "block").select(*keep)
-    far = rows.where(~is_hot)
-    return near.unionByName(far.join(name(far.select("block", "occurrence")).hint("merge"), "block").select(*keep))
+    if not hot:
+        return rows.withColumn("name", F.col("occurrence")).select(*keep)
+    near = rows.where(F.col("h").isin(hot))
+    near = near.join(F.broadcast(near.groupBy("block").agg(F.min("occurrence").alias("name"))), "block").select(*keep)
+    far = rows.where(~F.col("h").isin(hot)).withColumn("name", F.min("occurrence").over(Window.partitionBy("h", "block")))
+    return near.unionByName(far.select(*keep))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, chars, sha, identity): a bigint that is equal for two rows exactly if their normalised texts are."""
-    named = stage(_name_blocks(_blocks(docs, id_col, text_col)), "names")
+    blocks = stage(_blocks(docs, id_col, text_col), "blocks")
+    named = stage(_name_blocks(blocks), "names")
+    unstage(blocks)
     done = named.where("blocks = 1").select("row", "head.*", (F.col("name") * 64).alias("identity"))
     level, left = 1, named.where("blocks > 1")
     while left.limit(1).count():
