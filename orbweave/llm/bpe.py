@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import short_batches
 
 #: Entries of a worker's cache of chunks; it is emptied when full, which changes speed only.
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 800_000
 
 # Fixed values of the vocabulary format.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -38,6 +38,12 @@ WORD_END = "</w>"
 _SIMPLE = re.compile(r"[\x00-\x1b\x20-\x7e\xa1-\xff]*")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _LAST = 1 << 40
+#: Letters of a word that is proposed by itself: the steps of the others are shared.
+LONG_WORD = 48
+#: Fills up short rows; no merge has it.
+_PAD = (1 << 20) - 1
+#: A word of letters and one mark after it, most frequent among chunks that are not words.
+_MARKED = re.compile(r"[a-z]+[!-&(-/:-@\[-`{-~]")
 
 
 def byte_alphabet() -> list[str]:
@@ -47,6 +53,60 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(spare)) for b in range(256)]
 
 
+def slices(flat: np.ndarray, lengths: np.ndarray) -> Iterator[bytes]:
+    """Runs of ids, one after the other, as little-endian 32-bit integers."""
+    data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(lengths)).tolist()
+    return (data[i:j] for i, j in zip([0, *ends], ends))
+
+
+def lower_simple(text: str) -> str:
+    """Lower case, for a text of Latin-1 characters alone, where that is the same for the text and for its parts."""
+    if text.isascii():
+        return text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+class Lookup:
+    """A hash table from integers to integers that numpy reads: few of its slots are taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, default: int):
+        self.default, self.shift = default, np.uint64(64 - max(10, int(len(keys) * 4).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values, self.probes = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int64), 0
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            self.probes += 1
+            free = self.keys[at[left]] < 0
+            took, first = np.unique(at[left[free]], return_index=True)
+            winners = left[free][first]
+            self.keys[took], self.values[took] = keys[winners], values[winners]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] += 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are at least 0; the default where there is none."""
+        at = self._home(keys)
+        own = self.keys[at]
+        out = np.where(own == keys, self.values[at], self.default)
+        for step in range(1, self.probes):  # on, where another key stands in the way
+            open_ = np.flatnonzero((own != keys) & (own >= 0)) if step == 1 else open_[(own != flat[open_]) & (own >= 0)]
+            if not len(open_):
+                break
+            if step == 1:
+                flat, at, shape, out = keys.reshape(-1), at.reshape(-1), out.shape, out.reshape(-1)
+            own = self.keys[at[open_] + step]
+            hit = open_[own == flat[open_]]
+            out[hit] = self.values[at[hit] + step]
+        return out if out.shape == keys.shape else out.reshape(keys.shape)
+
+
 class WordBpe:
     """Encoder and decoder for a vocabulary file of byte-level BPE with word ends."""
 
@@ -69,16 +129,14 @@ class WordBpe:
         self.results = ids[:, 2]
         self.result = self.results.tolist()
         self.left[ids[:, 2]], self.right[ids[:, 2]], self.made[ids[:, 2]] = ids[:, 0], ids[:, 1], ranks
-        keys = (ids[:, 0] << 20) | ids[:, 1]
-        self._slots(keys, ranks)
+        self.ranks = Lookup((ids[:, 0] << 20) | ids[:, 1], ranks, _LAST)
         self.alphabet = byte_alphabet()
         self.table = {b: c for b, c in enumerate(self.alphabet)}
         self.find = regex.compile(PRE_TOKEN).findall
-        self.sound: set[int] = set()
-        self.unsound: set[int] = set()
-        self.fine_pairs: set[int] = set()
-        self.bad_pairs: set[int] = set()
-        self.starts = {w[:i] for w in self.vocab for i in range(1, len(w) + 1)}
+        self.sound = np.full(n, -1, np.int8)  # whether the merges make a token; -1: not looked at yet
+        self.prefix = dict.fromkeys((w[:i] for w in self.vocab for i in range(1, len(w))), -1) | self.vocab  # -1: only begins tokens
+        self._trie()
+        self.letter, self.last_letter = (np.array([self.vocab.get(chr(c) + tail, 0) for c in range(512)]) for tail in ("", WORD_END))
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.path, self._library = path, None
@@ -87,8 +145,17 @@ class WordBpe:
 
     # -- words -----------------------------------------------------------------------------------------------------
 
-    def _characters(self, word: str) -> list[int]:
-        return [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + WORD_END]]
+    def _trie(self) -> None:
+        """Nodes of the tokens' trie: children by node and character, and the token that ends in a node, or with the word."""
+        nodes = {"": 0}
+        for w in self.vocab:
+            w = w.removesuffix(WORD_END)
+            for i in range(1, len(w) + 1):
+                nodes.setdefault(w[:i], len(nodes))
+        names = list(nodes)[1:]
+        self.children = Lookup(np.array([nodes[w[:-1]] << 9 | min(ord(w[-1]), 511) for w in names]), np.arange(1, len(nodes)), -1)
+        self.token_at, self.whole_at = (np.array([self.vocab.get(w + tail, -1) for w in nodes]) for tail in ("", WORD_END))
+        self.token_at[0] = self.whole_at[0] = -1
 
     def _merge(self, ids: list[int]) -> list[int]:
         """The merges themselves: the lowest rank first, the leftmost of equals."""
@@ -117,73 +184,94 @@ class WordBpe:
 
     def _propose(self, word: str) -> list[int]:
         """Greedy longest match; the last character carries the word's end."""
-        out, i, n, get, starts = [], 0, len(word), self.vocab.get, self.starts
+        out, i, n, whole, get = [], 0, len(word), self.vocab.get, self.prefix.get
         while i < n:
-            t = get(word[i:] + WORD_END)
+            t = whole(word[i:] + WORD_END)
             if t is not None:
                 out.append(t)
                 break
             best, end, j = None, i, i + 1
-            while j < n and (part := word[i:j]) in starts:
-                t = get(part)
-                if t is not None:
+            while j < n and (t := get(word[i:j])) is not None:
+                if t >= 0:
                     best, end = t, j
                 j += 1
             out.append(best)
             i = end
         return out
 
-    def _slots(self, keys: np.ndarray, ranks: np.ndarray) -> None:
-        """A hash table of the merges' ranks that numpy can look up: few of its slots are taken."""
-        self.shift = np.uint64(64 - max(10, int(len(keys) * 8).bit_length()))
-        size = 1 << (64 - int(self.shift))
-        self.slot_keys, self.slot_ranks, self.probes = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int64), 0
-        at = self._home(keys)
-        left = np.arange(len(keys))
-        while len(left):
-            self.probes += 1
-            free = self.slot_keys[at[left]] < 0
-            took, first = np.unique(at[left[free]], return_index=True)
-            winners = left[free][first]
-            self.slot_keys[took], self.slot_ranks[took] = keys[winners], ranks[winners]
-            left = left[self.slot_keys[at[left]] != keys[left]]
-            at[left] += 1
+    def _propose_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of many words at once: all tokens, and how many each word has.
 
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        All words walk down the trie together, a character a step; who can't go on takes the longest token passed and
+        begins again behind it. Tokens stand at their first character until all are found.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        flow = np.append(np.frombuffer("".join(words).encode("utf-16-le"), "<u2").astype(np.int64), 0)
+        found = np.full(len(flow) - 1, -1, np.int64)
+        for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+            own = self._propose(words[i])
+            found[ends[i] - lengths[i] : ends[i] - lengths[i] + len(own)] = own
+        end = ends[lengths <= LONG_WORD]
+        start = end - lengths[lengths <= LONG_WORD]
+        at, node, best, after = start.copy(), np.zeros(len(start), np.int64), np.full(len(start), -1), start.copy()
+        while len(start):
+            child = self.children.get(node << 9 | flow[at])
+            child[at >= end] = -1
+            go = child >= 0
+            node = np.where(go, child, node)
+            at = at + go
+            last = at == end
+            token = np.where(last, self.whole_at[node], self.token_at[node])
+            take = go & (token >= 0)
+            best, after = np.where(take, token, best), np.where(take, at, after)
+            stop = ~go | last
+            found[start[stop]] = best[stop]
+            start = np.where(stop, after, start)
+            at, node, best = np.where(stop, start, at), np.where(stop, 0, node), np.where(stop, -1, best)
+            more = start < end
+            if not more.all():
+                start, end, at, node, best, after = (x[more] for x in (start, end, at, node, best, after))
+        has = found >= 0
+        return found[has], np.add.reduceat(has, ends - lengths, dtype=np.int64)
 
     def ranks_of(self, keys: np.ndarray) -> np.ndarray:
         """Ranks of merges by pair; _LAST where there is none."""
-        at = self._home(keys)
-        out = np.full(keys.shape, _LAST, np.int64)
-        for step in range(self.probes):
-            hit = self.slot_keys[at + step] == keys
-            out[hit] = self.slot_ranks[(at + step)[hit]]
-        return out
+        return self.ranks.get(keys)
 
-    def merge_many(self, words: list[list[int]]) -> list[list[int]]:
-        """The merges themselves, for words of characters' ids: in every step each word makes its first merge.
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """The merges themselves, for words in the byte alphabet: in every step each word makes its first merge.
 
-        Words of one length go together: each step shortens all that still have a merge by one.
+        Words of about one length go together, short ones padded at the end: each step shortens the block by one.
         """
         out: list = [None] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(lengths):
-            who = np.flatnonzero(lengths == n)
-            ids = np.array([words[i] for i in who], np.int64).reshape(len(who), n)
-            while ids.shape[1] > 1:
+        flow = np.frombuffer("".join(words).encode("utf-16-le"), "<u2")
+        ends = np.cumsum(lengths)
+        ids_flow = self.letter[flow]
+        ids_flow[ends - 1] = self.last_letter[flow[ends - 1]]
+        groups = np.where(lengths <= 16, (lengths + 3) // 4, 1 + np.ceil(np.log2(np.maximum(lengths, 1))).astype(np.int64) * 16)
+        for group in np.unique(groups):
+            who = np.flatnonzero(groups == group)
+            width = int(lengths[who].max())
+            columns = np.arange(width)[None, :]
+            at = (ends[who] - lengths[who])[:, None] + columns
+            ids = np.where(columns < lengths[who][:, None], ids_flow[np.minimum(at, len(ids_flow) - 1)], _PAD)
+            while len(who):
                 ranks = self.ranks_of(ids[:, :-1] << 20 | ids[:, 1:])
-                at = ranks.argmin(1)
-                best = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
+                first = ranks.argmin(1) if ids.shape[1] > 1 else np.zeros(len(ids), np.int64)
+                best = ranks[np.arange(len(ids)), first] if ids.shape[1] > 1 else np.full(len(ids), _LAST)
                 live = best < _LAST
-                for i, row in zip(who[~live].tolist(), ids[~live].tolist()):
-                    out[i] = row
-                who, ids, at, best = who[live], ids[live], at[live], best[live]
-                ids[np.arange(len(ids)), at] = self.results[best]
-                columns = np.arange(ids.shape[1] - 1)[None, :]
-                ids = np.take_along_axis(ids, columns + (columns > at[:, None]), 1)
-            for i, row in zip(who.tolist(), ids.tolist()):
-                out[i] = row
+                if not live.all():
+                    done = ids[~live]
+                    kept = done != _PAD
+                    for i, code in zip(who[~live].tolist(), slices(done[kept], kept.sum(1))):
+                        out[i] = code
+                    who, ids, first, best = who[live], ids[live], first[live], best[live]
+                if len(who):
+                    ids[np.arange(len(ids)), first] = self.results[best]
+                    columns = np.arange(ids.shape[1] - 1)[None, :]
+                    ids = np.take_along_axis(ids, columns + (columns > first[:, None]), 1)
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,29 +302,24 @@ class WordBpe:
 
     def learn(self, words: list[str]) -> None:
         """Tokens of words in the byte alphabet, into ``self.words``."""
-        proposed = [self._propose(w) for w in words]
-        borders = [[a << 20 | b for a, b in zip(p, p[1:])] for p in proposed]
-        pairs = set(chain.from_iterable(borders)) - self.fine_pairs - self.bad_pairs
-        if pairs:
-            flat = np.fromiter(pairs, np.int64, len(pairs))
-            good = self.compatible(flat >> 20, flat & 0xFFFFF)
-            self.fine_pairs.update(flat[good].tolist())
-            self.bad_pairs.update(flat[~good].tolist())
-        for t in set(chain.from_iterable(proposed)) - self.sound - self.unsound:
-            (self.sound if self._is_sound(t) else self.unsound).add(t)
-        fine, sound = self.fine_pairs.issuperset, self.sound.issuperset
-        known, failing = self.words, []
-        for w, p, keys in zip(words, proposed, borders):
-            if fine(keys) and sound(p):
-                known[w] = pack(f"<{len(p)}I", *p)
-            else:
-                failing.append(w)
+        flat, lengths = self._propose_many(words)
+        starts = np.cumsum(lengths) - lengths
+        tokens = np.unique(flat)
+        for t in tokens[self.sound[tokens] < 0].tolist():
+            self.sound[t] = self._is_sound(t)
+        # each pair stands at its second token; a word's first token has none
+        fine = self.sound[flat] > 0
+        inner = np.ones(len(flat), bool)
+        inner[starts] = False
+        inner = np.flatnonzero(inner)
+        pairs, which = np.unique(flat[inner - 1] << 20 | flat[inner], return_inverse=True)
+        fine[inner] &= self.compatible(pairs >> 20, pairs & 0xFFFFF)[which]
+        good = np.logical_and.reduceat(fine, starts)
+        self.words.update(zip(words, slices(flat, lengths)))
+        failing = [words[i] for i in np.flatnonzero(~good).tolist()]
         self.exact_merges += len(failing)
-        for w, p in zip(failing, self.merge_many([self._characters(w) for w in failing])):
-            known[w] = pack(f"<{len(p)}I", *p)
-        if len(self.fine_pairs) + len(self.bad_pairs) > CACHE_ENTRIES:
-            self.fine_pairs.clear()
-            self.bad_pairs.clear()
+        if failing:
+            self.words.update(zip(failing, self.merge_many(failing)))
 
     # -- texts -----------------------------------------------------------------------------------------------------
 
@@ -259,7 +342,8 @@ class WordBpe:
         if emptied:
             self.chunks.clear()
             self.words.clear()
-        pieces = {c: [c.lower()] if c.isalpha() and c.isascii() else self._pieces(c) for c in chunks}
+        marked = _MARKED.fullmatch
+        pieces = {c: (c.lower(),) if c.isalpha() and c.isascii() else (c[:-1], c[-1]) if marked(c) else self._pieces(c) for c in chunks}
         new = set(chain.from_iterable(pieces.values())).difference(self.words)
         if new:
             self.learn(list(new))
@@ -270,7 +354,7 @@ class WordBpe:
 
     def encode_plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian 32-bit integers; strings of special tokens count as ordinary text."""
-        split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
+        split = [[t] if _ODD_SPACE.search(t) else lower_simple(t).split() for t in texts]
         new = set(chain.from_iterable(split)).difference(self.chunks)
         collects = gc.isenabled()
         gc.disable()  # learning makes very many lists and no cycle
