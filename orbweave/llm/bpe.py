@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import short_batches
 
 #: Entries of a worker's cache of chunks; it is emptied when full, which changes speed only.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_600_000
 
 # Fixed values of the vocabulary format.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -141,7 +141,7 @@ class WordBpe:
         self.chunks: dict[str, bytes] = {}
         self.path, self._library = path, None
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.exact_merges = 0
+        self.exact_merges, self.entries = 0, CACHE_ENTRIES
 
     # -- words -----------------------------------------------------------------------------------------------------
 
@@ -338,7 +338,7 @@ class WordBpe:
 
     def _learn_chunks(self, chunks: set[str]) -> bool:
         """Tokens of chunks, into ``self.chunks``; whether it had to be emptied first."""
-        emptied = len(self.chunks) > 0 and len(self.chunks) + len(chunks) > CACHE_ENTRIES
+        emptied = len(self.chunks) > 0 and len(self.chunks) + len(chunks) > self.entries
         if emptied:
             self.chunks.clear()
             self.words.clear()
