@@ -494,7 +494,7 @@ def g1_quat(spark, sf):
     return d.withColumn("m", m).select("det_id", r(F.col("m")[0]).alias("r00"), r(F.col("m")[3]).alias("r10"), r(geometry.quaternion_of_rotation(F.col("m"))[0]).alias("qw"))
 
 
-@query(D3 + "SELECT det_id, round(0.1, 6) AS roll, round(-0.2, 6) AS pitch, round(yaw, 6) + 0.0 AS yaw FROM d")
+@query(D3 + "SELECT det_id, 0.1::DOUBLE AS roll, (-0.2)::DOUBLE AS pitch, round(yaw, 6) + 0.0 AS yaw FROM d")
 def g4_euler(spark, sf):
     d = det3(spark, sf).withColumn("e", geometry.euler_of_rotation(geometry.rotation_of_euler(F.lit(0.1), F.lit(-0.2), F.col("yaw"))))
     return d.select("det_id", *[r(F.col("e")[i]).alias(n) for i, n in enumerate(("roll", "pitch", "yaw"))])
