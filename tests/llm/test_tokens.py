@@ -159,6 +159,20 @@ def test_each_subword_is_scored_once():
                     assert x[attention_lm.WINDOW - attention_lm.STRIDE + j] == flow[goal]
 
 
+def test_scoring_gives_what_the_trained_mixture_weighs():
+    rng = np.random.default_rng(4)
+    model = attention_lm.AttentionMixture(50)
+    model.experts = rng.dirichlet(np.ones(50), attention_lm.EXPERTS).T.astype(np.float32)
+    model.bias = rng.standard_normal(attention_lm.EXPERTS).astype(np.float32)
+    texts = [rng.integers(0, 48, n) for n in (1, 23, 24, 25, 400)]
+    got = model.prepare().freeze().log10(texts, 48, 49)
+    for ids, score in zip(texts, got):
+        inputs, targets = attention_lm.windows_of(ids, 48, 49)
+        weights = model.mix(inputs, 49)[0].astype(float)
+        p = (weights * model.experts[targets.reshape(-1)]).sum(1)[targets.reshape(-1) != 49]
+        assert abs(np.log10(p).sum() - score) < 1e-4 * len(ids)
+
+
 def test_attention_is_causal():
     model = attention_lm.AttentionMixture(50).prepare()
     x = np.random.default_rng(0).integers(0, 49, (1, attention_lm.WINDOW))
