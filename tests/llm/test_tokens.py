@@ -191,5 +191,39 @@ def test_network_gradient_lowers_loss():
     assert model.log10(ids[:1], 5, 6)[0] > 0.5 * 150 * math.log10(0.2)
 
 
+def test_experts_know_all_rows_not_only_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "SAMPLE_DOCUMENTS", 20)
+    monkeypatch.setattr(attention_lm, "EPOCHS", 1)
+    rare = "the cat sat " * 100 + "zebra " * 20
+    rows = [(i, rare if i % 10 == 0 else "the cat sat on the mat and slept " * 60) for i in range(2000)]
+    train = spark.createDataFrame(rows, "id long, text string")
+    chosen = {r["id"] for r in train.selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").limit(20).collect()}
+    train = train.where(f"id % 10 <> 0 OR id NOT IN ({','.join(map(str, sorted(chosen)))})")
+    more = [(i, rows[i][1].replace("zebra ", "")) for i in sorted(chosen)]
+    train = train.where(f"id NOT IN ({','.join(map(str, sorted(chosen)))})").unionByName(spark.createDataFrame(more, "id long, text string"))
+    model = attention_lm.learn_network(train, attention_lm.count_words(train), PATH)
+    own = bpe.coder(PATH)
+    code = np.frombuffer(own.encode_plain(["zebra"])[0], "<u4")
+    ids = [np.frombuffer(own.encode_plain([r["text"]])[0], "<u4") for r in train.collect()]
+    share = sum(np.count_nonzero(i == code[0]) for i in ids) / sum(len(i) + 1 for i in ids)
+    assert model.experts[code[0]].max() > 0.9 * share  # an average of the experts must be able to give the share
+
+
+def test_responsibilities_are_those_of_the_trained_mixture():
+    rng = np.random.default_rng(6)
+    model = attention_lm.AttentionMixture(50)
+    model.experts = rng.dirichlet(np.ones(50), attention_lm.EXPERTS).T.astype(np.float32)
+    model.bias = rng.standard_normal(attention_lm.EXPERTS).astype(np.float32)
+    got = np.zeros((50, attention_lm.EXPERTS))
+    inputs, targets = attention_lm.windows_of(rng.integers(0, 48, 1500), 48, 49)
+    model.prepare().freeze().add_responsibilities(inputs, targets, 49, got)
+    goal = targets.reshape(-1)
+    r = model.mix(inputs, 49)[0] * model.experts[goal]
+    r /= r.sum(1, keepdims=True)
+    want = np.zeros_like(got)
+    np.add.at(want, goal[goal != 49], r[goal != 49])
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-4) and got.sum() == pytest.approx(1500, rel=1e-4)
+
+
 def test_scores_with_nothing_to_learn_from(spark):
     assert attention_lm.score_documents(samples.nothing(spark), PATH).count() == 0
