@@ -118,14 +118,14 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
-    """Weights, the constant first, by Newton's method with a small ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
+    """Weights, the constant first, by Newton's method with a small ridge; each row counts so many times."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w, fine = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
     fine[0, 0] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + fine, x.T @ (y - p) - fine @ w)
+        step = np.linalg.solve((x * (times * (p * (1 - p) + 1e-9))[:, None]).T @ x + fine, x.T @ (times * (y - p)) - fine @ w)
         w += step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
@@ -151,10 +151,14 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Grammar:
-    """The grammar from labelled rows that are not held out, at most ``labelled`` of each label (a fixed bound)."""
+    """The grammar from labelled rows that are not held out, at most ``labelled`` of each label (a fixed bound).
+
+    Labels are drawn at different rates where the bound holds, so rows count for all of their label when scores are fitted.
+    """
     spark = docs.sparkSession
     short_batches(spark)
     may = labels.where(~held_out(id_col)).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
+    times = {r["label"]: max(1.0, r["count"] / labelled) for r in may.groupBy("label").count().collect()}
     order = F.xxhash64("_id")
     chosen = [may.where(F.col("label") == k).orderBy(order, "_id").limit(labelled) for k in (0, 1)]
     chosen = stage(chosen[0].unionByName(chosen[1]).dropDuplicates(["_id"]), "labelled")
@@ -181,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = texts.mapInArrow(describe, "label int, x array<double>").collect()  # at most 2 * labelled rows
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)
     order = np.lexsort([*x.T, y])
-    grammar.weights = fit_logistic(x[order], y[order])
+    grammar.weights = fit_logistic(x[order], y[order], np.array([times[k] for k in y[order].astype(int)]))
     return grammar
 
 

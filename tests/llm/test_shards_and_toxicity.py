@@ -67,6 +67,17 @@ def test_toxicity_ranks_held_out_texts(spark):
     assert auc(rows) > 0.95  # some labels are wrong on purpose
 
 
+def test_toxicity_scores_keep_the_share_of_labels_beyond_the_bound(spark):
+    toxic = {i: int(i % 10 == 0) for i in range(4000)}
+    bad = {i: bool(toxic[i]) or i % 100 in (1, 12, 23, 34, 45, 56) for i in toxic}
+    docs = spark.createDataFrame([(i, "what a gronk here" if bad[i] else "what a day here") for i in toxic], "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    grammar = toxicity.learn(docs, labels, labelled=300)
+    learned = [i for i in toxic if samples.remainder(i) != 0 and bad[i]]
+    share = sum(toxic[i] for i in learned) / len(learned)
+    assert abs(grammar.score("what a gronk here") - share) < 0.1
+
+
 def test_toxicity_of_edge_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     grammar = toxicity.learn(samples.edge(spark), labels)
