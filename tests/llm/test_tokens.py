@@ -166,7 +166,8 @@ def test_scoring_gives_what_the_trained_mixture_weighs():
     model.bias = rng.standard_normal(attention_lm.EXPERTS).astype(np.float32)
     texts = [rng.integers(0, 48, n) for n in (1, 23, 24, 25, 400)]
     got = model.prepare().freeze().log10(texts, 48, 49)
-    for ids, score in zip(texts, got):
+    assert len(got) == sum(map(len, texts))
+    for ids, score in zip(texts, np.add.reduceat(got, np.cumsum([0, *map(len, texts[:-1])]))):
         inputs, targets = attention_lm.windows_of(ids, 48, 49)
         weights = model.mix(inputs, 49)[0].astype(float)
         p = (weights * model.experts[targets.reshape(-1)]).sum(1)[targets.reshape(-1) != 49]
@@ -188,25 +189,51 @@ def test_network_gradient_lowers_loss():
     inputs, targets = np.concatenate([c[0] for c in cut]), np.concatenate([c[1] for c in cut])
     prior = np.array([0.19] * 5 + [0.05, 0.0])
     model = attention_lm.AttentionMixture(7).fit(inputs, targets, 6, prior, np.arange(7) % attention_lm.EXPERTS, epochs=4, size=16)
-    assert model.log10(ids[:1], 5, 6)[0] > 0.5 * 150 * math.log10(0.2)
-
-
-def test_experts_know_all_rows_not_only_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(attention_lm, "SAMPLE_DOCUMENTS", 20)
-    monkeypatch.setattr(attention_lm, "EPOCHS", 1)
-    rare = "the cat sat " * 100 + "zebra " * 20
-    rows = [(i, rare if i % 10 == 0 else "the cat sat on the mat and slept " * 60) for i in range(2000)]
-    train = spark.createDataFrame(rows, "id long, text string")
-    chosen = {r["id"] for r in train.selectExpr("id", "xxhash64(id) AS h").orderBy("h", "id").limit(20).collect()}
-    train = train.where(f"id % 10 <> 0 OR id NOT IN ({','.join(map(str, sorted(chosen)))})")
-    more = [(i, rows[i][1].replace("zebra ", "")) for i in sorted(chosen)]
-    train = train.where(f"id NOT IN ({','.join(map(str, sorted(chosen)))})").unionByName(spark.createDataFrame(more, "id long, text string"))
-    model = attention_lm.learn_network(train, attention_lm.count_words(train), PATH)
-    own = bpe.coder(PATH)
-    code = np.frombuffer(own.encode_plain(["zebra"])[0], "<u4")
-    ids = [np.frombuffer(own.encode_plain([r["text"]])[0], "<u4") for r in train.collect()]
-    share = sum(np.count_nonzero(i == code[0]) for i in ids) / sum(len(i) + 1 for i in ids)
-    assert model.experts[code[0]].max() > 0.9 * share  # an average of the experts must be able to give the share
+    assert model.log10(ids[:1], 5, 6).sum() > 0.5 * 150 * math.log10(0.2)
+
+
+def test_memory_is_that_of_a_plain_count(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(r), bool(r % 5 == 0), int(c), int(c * 100 + g), float(np.float32(p))) for r, c, g, p in zip(rng.integers(0, 40, 900), rng.integers(0, 30, 900) ** 2 % 61, rng.integers(0, 9, 900) ** 2 % 11, rng.uniform(0.01, 0.9, 900))]
+    rows += [(50 + i, False, 7, 701, 0.25) for i in range(400)] + [(99, True, 5000, 500001, 0.5), (99, True, 7, 799, 0.5)]
+    counts = Counter((c, g) for _, held, c, g, _ in rows if not held)
+    once, twice = (sum(v == k for v in counts.values()) for k in (1, 2))
+    d = min(0.95, max(0.05, once / (once + 2 * twice)))
+    total, kinds = Counter(), Counter()
+    for (c, _), n in counts.items():
+        total[c] += n
+        kinds[c] += 1
+    want = Counter()
+    for r, _, c, g, p in rows:
+        q = (max(counts[c, g] - d, 0) + d * kinds[c] * p) / total[c] if total[c] else p
+        want[r] += math.log10(q / p)
+    table = spark.createDataFrame(rows, "row long, held_out boolean, context long, going_on long, p float")
+    got = {r["row"]: r["more"] for r in attention_lm._remembered(table.repartition(5)).collect()}
+    assert got.keys() == want.keys() and all(got[r] == pytest.approx(want[r], abs=1e-6) for r in got)
+
+
+def test_contexts_are_the_same_wherever_they_stand():
+    texts = [np.array(x) for x in ([5, 6, 7, 8, 9, 10], [1, 5, 6, 7, 8], [5], list(range(300)))]
+    place, context, going_on = attention_lm.contexts_of(np.concatenate(texts), np.array([len(t) for t in texts]), 40)
+    seen = {}
+    flat = [(tuple(([40] * attention_lm.ORDER + list(t))[i : i + attention_lm.ORDER]), int(t[i])) for t in texts for i in range(len(t))]
+    for at, c, g in zip(place, context, going_on):
+        assert seen.setdefault(c, flat[at][0]) == flat[at][0] and seen.setdefault(g, flat[at]) == flat[at] and c >= 0 and g >= 0
+    held = {flat[at][0] for at in place}
+    assert all((before in held) == (i in set(place.tolist())) for i, (before, _) in enumerate(flat))
+    assert 0 < len(place) < len(flat) / 4
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_texts_learned_twice_are_likelier(spark):
+    docs = samples.documents(spark).select("doc_id", "text").where("length(text) between 400 and 3000")
+    some = docs.where("doc_id % 4 = 0 and crc32(cast(doc_id as string)) % 5 <> 1")
+    copies = some.selectExpr("doc_id + 1000000 as doc_id", "text").where("crc32(cast(doc_id as string)) % 5 <> 1")
+    before = {r["doc_id"]: r["score"] / r["n_tokens"] for r in attention_lm.score_documents(docs, PATH).collect()}
+    after = {r["doc_id"]: r["score"] / r["n_tokens"] for r in attention_lm.score_documents(docs.unionByName(copies), PATH).collect()}
+    twice = [r["doc_id"] - 1000000 for r in copies.collect()]
+    rise = [after[i] - before[i] for i in twice]
+    assert len(twice) > 5 and min(rise) > 0 and sum(rise) / len(rise) > 0.1
 
 
 def test_responsibilities_are_those_of_the_trained_mixture():
