@@ -207,7 +207,10 @@ def test_memory_is_that_of_a_plain_count(spark):
     for r, _, c, g, p in rows:
         q = (max(counts[c, g] - d, 0) + d * kinds[c] * p) / total[c] if total[c] else p
         want[r] += math.log10(q / p)
-    table = spark.createDataFrame(rows, "row long, held_out boolean, context long, going_on long, p float")
+    texts: dict = {}
+    for r, held, *place in rows:
+        texts.setdefault((r, held), []).append(tuple(place))
+    table = spark.createDataFrame([(*k, v) for k, v in texts.items()], "row long, held_out boolean, places array<struct<context: long, going_on: long, p: float>>")
     got = {r["row"]: r["more"] for r in attention_lm._remembered(table.repartition(5)).collect()}
     assert got.keys() == want.keys() and all(got[r] == pytest.approx(want[r], abs=1e-6) for r in got)
 
