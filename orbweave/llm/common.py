@@ -52,6 +52,15 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name`` with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, row: str, top: int = 256) -> DataFrame:
     """Inner join on a non-negative bigint ``key`` that is unique in ``right``, where a few keys may hold most of ``left``.
 

@@ -2,33 +2,39 @@
 
 The rows are split recursively at a weighted median of size along the widest metadata dimension, until leaves reach the
 target. A median is found on the executors by radix selection: each pass sums sizes by node and digit of the sort key
-(the dimension's value, then a hash that breaks ties), and only those sums (nodes x 4096) reach the driver. Rows with
-equal texts form one group that stays in one shard, unless it is so large that shards could no longer be near equal
-(over ``GROUP_SHARE`` of a shard): then its rows are placed one by one.
+(the dimension's value, then a hash that breaks ties), and only those sums (nodes x 4096) reach the driver.
 
-The law is ``bytes``: sizes near equal. Nulls: a null text has size 1, null metadata sort first. Rows may repeat; extra
-columns are ignored.
+Rows with equal texts form one group that stays in one shard. A small group goes where its first row goes. Large groups
+(over ``GROUP_SHARE`` of a shard, so at most that many for each shard) are placed first, the largest where there is most
+room, and the tree then divides the other rows so that they fill what is left of each shard. A group is dealt out row by
+row only where it cannot be kept: where it is over half a shard, or no shard has room for it.
+
+The law is ``bytes``: sizes near equal. Nulls: a null text has size 1, null metadata sort first. String dimensions count
+by the six bytes after the beginning that all values share. Rows may repeat; extra columns are ignored; very long texts
+are rows like others, which no split can divide; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, stage
+from .common import fresh, stage, unstage
 
-#: A group of equal texts stays together up to this share of a shard's size.
-GROUP_SHARE = 1 / 256
+#: A group of equal texts is placed by itself from this share of a shard's size, and dealt out from that one.
+GROUP_SHARE, DEALT_SHARE = 1 / 256, 1 / 2
 #: Digits of the sort key: bits a pass decides, and passes.
 DIGIT_BITS, KEY_BITS = 12, 60
 
 
-def _ordered(column: Column, kind: str) -> Column:
-    """A dimension as a double that sorts as the values do; strings by their first six bytes."""
+def _ordered(column: Column, kind: str, shared: int = 0) -> Column:
+    """A dimension as a double that sorts as the values do; strings by the six bytes after those that all share."""
     if kind == "string":
-        return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+        return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), shared + 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
     return F.coalesce(column.cast("double"), F.lit(-1.0))
 
 
@@ -80,39 +86,70 @@ def assign_shards(docs: DataFrame, shards: int | None = None, target_bytes: int
     """
     kinds = dict(docs.dtypes)
     dims = tuple(d for d in dims if d in kinds) or (id_col,)
+    strings = [d for d in dims if kinds[d] == "string"]
+    ends = docs.agg(F.lit(0), *[f(d).alias(f"{f.__name__}_{i}") for i, d in enumerate(strings) for f in (F.min, F.max)]).first()
+    shared = {d: len(os.path.commonprefix([(ends[f"{f}_{i}"] or "").encode() for f in ("min", "max")])) for i, d in enumerate(strings)}  # of the first and the last, so of all
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"),
-        F.xxhash64(text).alias("group"), *[_ordered(F.col(d), kinds[d]).alias(f"d{i}") for i, d in enumerate(dims)],
+        F.xxhash64(text).alias("group"), *[_ordered(F.col(d), kinds[d], shared.get(d, 0)).alias(f"d{i}") for i, d in enumerate(dims)],
     )
     rows = stage(rows, "metadata")
     total = rows.agg(F.sum("size")).first()[0] or 0
     if shards is None:
         shards = max(1, round(total / target_bytes))
-    # A group is placed as its first row is; the rows of a large one are placed each for itself.
+    # A group is placed as its first row is.
     first = F.min(F.struct("id", "row", *[f"d{i}" for i in range(len(dims))])).alias("first")
     groups = stage(rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("group_size"), first).where("n > 1"), "groups")
-    limit = total / shards * GROUP_SHARE
-    large = [r["group"] for r in groups.where(F.col("group_size") > limit).select("group").collect()]  # at most shards / GROUP_SHARE
-    groups = groups.where(F.col("group_size") <= limit)
-    groups = groups.select(F.col("group").alias("_group"), F.col("first.row").alias("leader"), *[F.col(f"first.d{i}").alias(f"g{i}") for i in range(len(dims))])
-    rows = rows.withColumn("group", F.when(F.col("group").isin(large), F.xxhash64("row")).otherwise(F.col("group")) if large else F.col("group"))
-    rows = rows.join(groups, F.col("group") == F.col("_group"), "left")
-    rows = rows.withColumn("leader", F.coalesce("leader", "row"))
-    rows = rows.select("id", "row", "size", "crc", F.xxhash64("leader").bitwiseAND((1 << 24) - 1).alias("tie"), *[F.coalesce(f"g{i}", f"d{i}").alias(f"d{i}") for i in range(len(dims))])
-    rows = stage(rows.withColumn("node", F.lit(1).cast("long")), "points")
-    spans = rows.agg(*[(F.max(f"d{i}") - F.min(f"d{i}")).alias(f"s{i}") for i in range(len(dims))]).first()
+    whole_shard = total / shards
+    large = groups.where(F.col("group_size") > whole_shard * GROUP_SHARE).select("group", "group_size").collect()  # at most shards / GROUP_SHARE
+    fixed, dealt, room = _place_groups({r["group"]: r["group_size"] for r in large}, shards, whole_shard)
+    leaders = groups.where(F.col("group_size") <= whole_shard * GROUP_SHARE)
+    leaders = leaders.select(F.col("group").alias("_group"), "n", F.struct(F.col("first.row").alias("leader"), *[F.col(f"first.d{i}").alias(f"g{i}") for i in range(len(dims))]).alias("of"))
+    rows = rows.withColumn("leaf", _of_group(fixed))
+    if dealt:
+        rows = rows.withColumn("group", F.when(F.col("group").isin(dealt), F.xxhash64("row")).otherwise(F.col("group")))
+    free = rows.where("leaf is null")
+    free = free.join(leaders, F.col("group") == F.col("_group"), "left").withColumn("leader", F.coalesce("of.leader", "row"))
+    free = free.select("id", "row", "size", "crc", F.xxhash64("leader").bitwiseAND((1 << 24) - 1).alias("tie"), *[F.coalesce(f"of.g{i}", f"d{i}").alias(f"d{i}") for i in range(len(dims))])
+    free = stage(free.withColumn("node", F.lit(1).cast("long")), "points")
+    spans = free.agg(*[(F.max(f"d{i}") - F.min(f"d{i}")).alias(f"s{i}") for i in range(len(dims))]).first()
     whole = tuple(spans[f"s{i}"] or 0 for i in range(len(dims)))
-    leaves = {1: shards if total else 1}  # node -> shards below it; without rows there is nothing to split
-    while any(n > 1 for n in leaves.values()):
-        split = {k: n for k, n in leaves.items() if n > 1}
-        plan = _split(rows, {k: whole for k in split}, {k: (n // 2) / n for k, n in split.items()}, len(dims))
-        side = F.when(_key(plan) < _of_node({k: p["prefix"] for k, p in plan.items()}, "long"), 0).otherwise(1)
-        rows = stage(rows.withColumn("node", F.when(F.col("node").isin(list(plan)), F.col("node") * 2 + side).otherwise(F.col("node"))), "points")
-        leaves = {k: n for k, n in leaves.items() if n == 1} | {c: m for k, n in split.items() for c, m in ((2 * k, n // 2), (2 * k + 1, n - n // 2))}
-    number = {node: i for i, node in enumerate(sorted(leaves, key=lambda k: f"{k:b}"))}
-    rows = rows.select("id", "row", "size", "crc", _of_node(number, "int").alias("shard"))
-    return _slots(rows).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+    leaves = {1: list(range(shards))}  # node -> shards below it
+    if not free.limit(1).count():  # nothing to split
+        leaves = {1: [0]}
+    while any(len(n) > 1 for n in leaves.values()):
+        split = {k: n for k, n in leaves.items() if len(n) > 1}
+        share = {k: sum(room[i] for i in n[: len(n) // 2]) / max(1e-9, sum(room[i] for i in n)) for k, n in split.items()}
+        plan = _split(free, {k: whole for k in split}, share, len(dims))
+        if plan:
+            side = F.when(_key(plan) < _of_node({k: p["prefix"] for k, p in plan.items()}, "long"), 0).otherwise(1)
+            before, free = free, stage(free.withColumn("node", F.when(F.col("node").isin(list(plan)), F.col("node") * 2 + side).otherwise(F.col("node"))), "points")
+            unstage(before)
+        leaves = {k: n for k, n in leaves.items() if len(n) == 1} | {c: m for k, n in split.items() for c, m in ((2 * k, n[: len(n) // 2]), (2 * k + 1, n[len(n) // 2 :]))}
+    placed = free.select("id", "row", "size", "crc", _of_node({k: n[0] for k, n in leaves.items()}, "int").alias("shard"))
+    placed = placed.unionByName(rows.where("leaf is not null").select("id", "row", "size", "crc", F.col("leaf").alias("shard")))
+    return _slots(placed).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def _place_groups(sizes: dict[int, int], shards: int, whole: float) -> tuple[dict[int, int], list[int], list[float]]:
+    """(group -> shard, groups to deal out, what is left of each shard): the largest first, where there is most room."""
+    room, fixed, dealt = [(-whole, i) for i in range(shards)], {}, []
+    for group, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        left, i = room[0]
+        if size > whole * DEALT_SHARE or size > -left:
+            dealt.append(group)
+            continue
+        heapq.heapreplace(room, (left + size, i))
+        fixed[group] = i
+    return fixed, dealt, [-left for left, _ in sorted(room, key=lambda x: x[1])]
+
+
+def _of_group(values: dict[int, int]) -> Column:
+    """The shard of a group that has one."""
+    if not values:
+        return F.lit(None).cast("int")
+    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k).cast("long"), F.lit(v).cast("int"))]), F.col("group"))
 
 
 def _slots(rows: DataFrame, per_bucket: int = 20_000) -> DataFrame:
@@ -131,5 +168,6 @@ def _slots(rows: DataFrame, per_bucket: int = 20_000) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", **options) -> None:
     """Write ``docs`` as one folder per shard. Needs ids that differ from row to row."""
-    placed = assign_shards(docs, id_col=id_col, **options).select(F.col(id_col).alias("_id"), F.col("shard").alias("_shard"))
-    docs.join(placed, F.col(id_col) == F.col("_id")).drop("_id").write.partitionBy("_shard").parquet(path)
+    mark, shard = fresh(docs, "id"), fresh(docs, "shard")
+    placed = assign_shards(docs, id_col=id_col, **options).select(F.col(id_col).alias(mark), F.col("shard").alias(shard))
+    docs.join(placed, F.col(id_col) == F.col(mark)).drop(mark).write.partitionBy(shard).parquet(path)

@@ -32,6 +32,8 @@ WORDS, BITS, SEED = 4, 4, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of a bucket that one task compares with one another; of a fuller bucket, pairs of blocks of so many rows.
 BUCKET_ROWS = 4096
+#: Full buckets whose list is broadcast, at most; longer lists are joined by a shuffle.
+FEW_BUCKETS = 100_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -158,7 +160,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_buckets(keyed: DataFrame, full: DataFrame) -> DataFrame:
     """Links inside buckets of more than BUCKET_ROWS rows: each pair of a bucket's blocks is a group of its own."""
-    rows = keyed.join(F.broadcast(full), "key").withColumn("blocks", F.ceil(F.col("count") / BUCKET_ROWS).cast("int"))
+    rows = keyed.join(full, "key").withColumn("blocks", F.ceil(F.col("count") / BUCKET_ROWS).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fingerprint")
@@ -179,11 +181,12 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     keyed = stage(_fuzzy_keys(prints.select("fingerprint").distinct()), "fuzzy_keys")
     full = stage(keyed.groupBy("key").count().where(F.col("count") > BUCKET_ROWS), "full_buckets")  # at most 3 x 2^24 keys exist
     few = full.count()
+    small = F.broadcast if few <= FEW_BUCKETS else lambda df: df
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    usual = keyed.join(F.broadcast(full.select("key")), "key", "left_anti") if few else keyed
+    usual = keyed.join(small(full.select("key")), "key", "left_anti") if few else keyed
     links = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long")
     if few:
-        links = links.unionByName(_full_buckets(keyed, full))
+        links = links.unionByName(_full_buckets(keyed, small(full)))
     links = stage(links, "links")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     return links
@@ -209,10 +212,3 @@ def _back(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     met = met.withColumn("_done", F.col("_hot").isNotNull()).withColumn("_key", F.when(F.col("_done"), F.monotonically_increasing_id()).otherwise(F.col("fingerprint")))
     met = met.join(cold.withColumn("_open", F.lit(False)), (F.col("_key") == F.col("_cold")) & (F.col("_done") == F.col("_open")), "left")
     return met.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.coalesce("_hot_id", "_cold_id").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the least id of their group, all columns. Needs ids that differ from row to row."""
-    groups = near_duplicates(docs, id_col, text_col)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"))
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")

@@ -100,14 +100,22 @@ def test_golay_words_two_bits_apart_share_a_codeword():
         assert a & b
 
 
-def test_drop_near_and_exact(spark):
+def test_drop_exact(spark):
     docs = samples.edge(spark).where("doc_id is not null")
-    near = simhash.drop_near_duplicates(docs)
-    assert near.schema == docs.schema
-    kept = {r["doc_id"] for r in near.collect()}
-    assert 6 in kept and 7 not in kept and 8 not in kept and 17 in kept and 18 not in kept
     exact = {r["doc_id"] for r in block_naming.drop_exact_duplicates(docs).collect()}
     assert 6 in exact and 7 in exact and 8 not in exact and 15 in exact and 16 not in exact
+    rows = [(1, "abc"), (1, "abc"), (2, "a bc"), (2, "abc"), (None, "abc"), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id int, text string, _kept int, _row int, identity int").repartition(3)
+    got = block_naming.drop_exact_duplicates(docs)
+    assert got.schema == docs.schema and sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, "x"), (2, "a bc")]
+    named = spark.createDataFrame([("b", "t"), ("a", "t"), (None, "t ")], "doc_id string, text string")
+    assert {(r["doc_id"], r["keep_id"]) for r in block_naming.exact_duplicates(named).collect()} == {("a", None), ("b", None), (None, None)}
+
+
+def test_names_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 40} " * (1 + i % 7 * 200)) for i in range(300)], "doc_id long, text string")
+    one, two = ({(r["id"], r["identity"]) for r in block_naming.identities(docs.repartition(n)).collect()} for n in (1, 9))
+    assert one == two and len(one) == 300
 
 
 def vectors(spark):

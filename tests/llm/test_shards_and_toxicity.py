@@ -48,6 +48,22 @@ def test_equal_texts_share_a_shard(spark):
     assert max(sizes.values()) < 1.02 * min(sizes.values())
 
 
+def test_groups_of_all_sizes_stay_together(spark):
+    groups = [(g, 2 + g) for g in range(60)] + [(100 + g, 1000 + 300 * g) for g in range(7)]  # a shard has some 3,000 rows
+    rows = [(g, f"group {g}") for g, n in groups for _ in range(n)] + [(1000 + i, f"alone {i}") for i in range(9000)]
+    rows = [(i, t, "en", f"https://host/{g % 9}", 1) for i, (g, t) in enumerate(rows)]
+    got = kd_sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5), shards=8).collect()
+    shards, sizes = defaultdict(set), Counter()
+    for r in got:
+        shards[rows[r["doc_id"]][1]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    shard = sum(sizes.values()) / 8
+    total = Counter(t for _, t, *_ in rows)
+    split = [t for t, s in shards.items() if len(s) > 1]
+    assert all(total[t] * (len(t) + 1) > shard / 2 for t in split) and len(sizes) == 8
+    assert max(sizes.values()) < 1.05 * shard and min(sizes.values()) > 0.95 * shard
+
+
 def test_no_shards(spark):
     assert kd_sharding.assign_shards(samples.nothing(spark), shards=8).count() == 0
 
