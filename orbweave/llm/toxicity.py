@@ -1,14 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a clause word by word: insults and threats give hits, targets (whom it is aimed at),
-negation and reported speech change how a hit counts. Their composition gives each hit one of a few classes, and a text
-is scored by its classes: a logistic model weighs them. The insult transducer's arcs are learned: words and stems
-(beginnings of words) that labelled toxic texts have far more often than other texts, over all labelled rows that may be
-learned from. The words of the other transducers are fixed lists.
+A lexicon reads a clause word by word into symbols: insults and threats (with the weight of their arc), targets, negations
+and words of reported speech. Four small transducers read the symbols and mark the hits: the hit itself, whether a
+negation reaches it, whether it is reported, whether the clause is aimed at somebody. Their composition is computed
+once, as a product over reachable states; a path's weight is the sum of its arcs' weights, and a clause has exactly one
+accepting path (the target transducer guesses at its start and rejects where the guess was wrong). A hit's marks give its
+class, and a text is scored by its classes: a logistic model weighs them, with fixed weights as the prior mean, so that a
+class without evidence keeps its own, and with negated and reported hits held below targeted ones.
+
+The insult arcs are learned: words and stems (beginnings of words) that labelled toxic texts have far more often than
+other texts, over all labelled rows that may be learned from. The logistic model is fitted on hits of arcs that were
+chosen without the text (two folds). The words of the other transducers are fixed lists.
 
 Most clauses hold no insult or threat, and an Aho-Corasick automaton finds those that do. Nulls count as empty texts,
-which get the score of a text without hits. Without any labels of both kinds every text scores 0. Rows may repeat;
-extra columns are ignored.
+which get the score of a text without hits. Very long texts are read whole. Without any labels of both kinds every text
+scores 0. Rows may repeat; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -43,6 +50,85 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;\n]")
 CLASSES = ("insult", "targeted", "negated", "reported", "threat", "threat_targeted")
 FEATURES = len(CLASSES) + 4
+#: Prior means of the logistic weights, by class and then the four other features; the most that a negated or reported
+#: hit weighs, as a part of a targeted one.
+PRIOR = (1.5, 2.5, 0.3, 0.2, 0.5, 2.5, 0.0, 0.0, 0.0, 0.0)
+HELD_BELOW = {"negated": 0.8, "reported": 0.6}
+
+#: Symbols that the lexicon writes and the transducers read.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+HITS = (INSULT, THREAT)
+
+
+@dataclass
+class Transducer:
+    """Reads symbols and writes a set of marks for each; arcs: (state, symbol) -> (next state, marks)."""
+
+    starts: tuple
+    finals: frozenset
+    arcs: dict[tuple, tuple]
+
+    def paths(self, symbols: list[int]) -> list[list[frozenset]]:
+        """The marks along every accepting path."""
+        live = [(s, []) for s in self.starts]
+        for x in symbols:
+            live = [(self.arcs[s, x][0], [*out, self.arcs[s, x][1]]) for s, out in live if (s, x) in self.arcs]
+        return [out for s, out in live if s in self.finals]
+
+
+def transducers(reach: int = REACH) -> tuple[Transducer, ...]:
+    """Hits, negation, reported speech, target."""
+    none, symbols = frozenset(), range(6)
+    hit = Transducer((0,), frozenset({0}), {(0, x): (0, frozenset({"insult"} if x == INSULT else {"threat"} if x == THREAT else ())) for x in symbols})
+    mark = lambda name, x: frozenset({name}) if x in HITS else none
+    negation = {(s, x): (reach if x == NEGATION else max(0, s - 1), mark("negated", x) if s else none) for s in range(reach + 1) for x in symbols}
+    report = {(s, x): (int(s or x == REPORT), mark("reported", x) if s else none) for s in (0, 1) for x in symbols}
+    aimed = {(s, x): ("seen" if x == TARGET else s, mark("targeted", x)) for s in ("due", "seen") for x in symbols}
+    aimed |= {("none", x): ("none", none) for x in symbols if x != TARGET}
+    return (
+        hit,
+        Transducer((0,), frozenset(range(reach + 1)), negation),
+        Transducer((0,), frozenset({0, 1}), report),
+        Transducer(("due", "none"), frozenset({"seen", "none"}), aimed),
+    )
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that does what both do: ``b`` reads what ``a`` passes on and adds its marks. Reachable states only."""
+    starts = tuple((s, t) for s in a.starts for t in b.starts)
+    arcs, todo, seen = {}, list(starts), set(starts)
+    while todo:
+        s, t = todo.pop()
+        for x in range(6):
+            if (s, x) in a.arcs and (t, x) in b.arcs:
+                (n, one), (m, two) = a.arcs[s, x], b.arcs[t, x]
+                arcs[(s, t), x] = (n, m), one | two
+                if (n, m) not in seen:
+                    seen.add((n, m))
+                    todo.append((n, m))
+    return Transducer(starts, frozenset(q for q in seen if q[0] in a.finals and q[1] in b.finals), arcs)
+
+
+def class_of(marks: frozenset) -> int:
+    """The class of a hit, as its place in CLASSES, by its marks; -1 where there is no hit."""
+    if not marks & {"insult", "threat"}:
+        return -1
+    for name in ("reported", "negated"):
+        if name in marks:
+            return CLASSES.index(name)
+    if "threat" in marks:
+        return CLASSES.index("threat_targeted" if "targeted" in marks else "threat")
+    return CLASSES.index("targeted" if "targeted" in marks else "insult")
+
+
+def compiled() -> tuple[list[int], list[bool], list[list[int]], list[list[int]]]:
+    """The composition of all transducers as tables: starts, finals, next state (-1: none) and class by state and symbol."""
+    machine = reduce(compose, transducers())
+    number = {q: i for i, q in enumerate(sorted({*machine.starts, *(q for q, _ in machine.arcs), *(n for n, _ in machine.arcs.values())}, key=repr))}
+    follow, classes = [[-1] * 6 for _ in number], [[-1] * 6 for _ in number]
+    for (q, x), (n, marks) in machine.arcs.items():
+        follow[number[q]][x], classes[number[q]][x] = number[n], class_of(marks)
+    return [number[q] for q in machine.starts], [q in machine.finals for q in number], follow, classes
 
 
 @dataclass
@@ -60,7 +146,8 @@ class Grammar:
             self.finder.add_word(x, True)
         self.finder.make_automaton()
         self.stems = sorted({len(x) - 1 for x in self.arcs if x.endswith("*")}, reverse=True)
-        self.threats, self.targets, self.negations, self.reports = map(frozenset, (THREATS, TARGETS, NEGATIONS, REPORTS))
+        self.fixed = {w: x for x, words in ((TARGET, TARGETS), (THREAT, THREATS), (REPORT, REPORTS), (NEGATION, NEGATIONS)) for w in words}
+        self.starts, self.finals, self.follow, self.classes = compiled()
 
     def insult(self, word: str) -> float:
         """The weight of the arc that reads the word: its own, or that of its longest stem."""
@@ -69,24 +156,33 @@ class Grammar:
             found = next((self.arcs[s] for n in self.stems if len(word) >= n and (s := word[:n] + "*") in self.arcs), 0.0)
         return found
 
-    def clause(self, words: list[str]) -> list[tuple[str, float]]:
-        """Run the composed transducers over a clause: (class, weight) of every hit."""
-        aimed = any(w in self.targets for w in words)
-        negated = reported = -1  # up to which word each state lasts
+    def read(self, words: list[str]) -> list[tuple[int, float]]:
+        """What the lexicon writes: (symbol, weight) of every word."""
         out = []
-        for i, w in enumerate(words):
-            if w in self.negations:
-                negated = i + REACH
-            elif w in self.reports:
-                reported = len(words)
-            elif w in self.threats:
-                if i > negated and i > reported:
-                    out.append(("threat_targeted" if aimed else "threat", 1.0))
-            elif weight := self.insult(w):
-                kind = "reported" if i <= reported else "negated" if i <= negated else "targeted" if aimed else "insult"
-                out.append((kind, weight))
+        for w in words:
+            x = self.fixed.get(w)
+            if x is None:
+                weight = self.insult(w)
+                out.append((INSULT, weight) if weight else (OTHER, 0.0))
+            else:
+                out.append((x, 1.0 if x == THREAT else 0.0))
         return out
 
+    def clause(self, words: list[str]) -> list[tuple[str, float]]:
+        """Run the composed machine over a clause: (class, weight) of every hit on its accepting path."""
+        tape = self.read(words)
+        for state in self.starts:
+            out = []
+            for x, weight in tape:
+                hit, state = self.classes[state][x], self.follow[state][x]
+                if state < 0:
+                    break
+                if hit >= 0:
+                    out.append((CLASSES[hit], weight))
+            if state >= 0 and self.finals[state]:
+                return out
+        return []
+
     def features(self, text: str) -> np.ndarray:
         """Of a whole text: hits by class, the largest and mean weight, distinct clauses and hits for its length."""
         out = np.zeros(FEATURES)
@@ -118,14 +214,15 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
-    """Weights, the constant first, by Newton's method with a small ridge; each row counts so many times."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, prior: np.ndarray | None = None, ridge: float = 0.1, steps: int = 40) -> np.ndarray:
+    """Weights, the constant first, by Newton's method with a small ridge around the prior; each row counts so many times."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    w, fine = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
+    mean = np.concatenate([[0.0], np.zeros(x.shape[1] - 1) if prior is None else prior])
+    w, fine = mean.copy(), np.eye(x.shape[1]) * ridge
     fine[0, 0] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (times * (p * (1 - p) + 1e-9))[:, None]).T @ x + fine, x.T @ (times * (y - p)) - fine @ w)
+        step = np.linalg.solve((x * (times * (p * (1 - p) + 1e-9))[:, None]).T @ x + fine, x.T @ (times * (y - p)) - fine @ (w - mean))
         w += step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
@@ -138,16 +235,33 @@ def held_out(id_col: str = "doc_id"):
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct words and stems of each text, with its label."""
+    """The distinct words and stems of each text, with its label and fold."""
     for batch in batches:
-        terms, labels = [], []
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        terms, labels, folds = [], [], []
+        for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)):
             words = set(_WORD.findall(text.lower()))
             words = {w for w in words if 2 < len(w) < 40}
             found = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
             terms += found
             labels += [label] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32())], names=["term", "label"])
+            folds += [fold] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32()), pa.array(folds, pa.int32())], names=["term", "label", "fold"])
+
+
+def _choose(counts: DataFrame, sizes: dict[tuple[int, int], int], folds: tuple[int, ...]) -> dict[str, float]:
+    """Arcs from the rows of some folds: at most ARCS terms, by lift and support."""
+    yes, no = (sum(sizes.get((k, f), 0) for f in folds) for k in (1, 0))
+    if not yes or not no:
+        return {}
+    toxic, other = (sum(F.col(f"{name}{f}") for f in folds) for name in ("toxic", "other"))
+    lift = ((toxic + 0.1) / yes) / ((other + 0.5) / no)
+    best = counts.select("term", toxic.alias("toxic"), lift.alias("lift")).where((F.col("toxic") >= min(SUPPORT, max(2, SUPPORT * len(folds) // 2))) & (F.col("lift") >= LIFT))
+    best = best.orderBy(F.desc(F.log("lift") * F.sqrt("toxic")), "term").limit(ARCS).collect()
+    arcs = {r["term"]: math.log(r["lift"]) for r in best}
+    for term in [t for t in arcs if not t.endswith("*")]:  # a word that a stem reads as well needs no arc
+        if any(term[:n] + "*" in arcs and arcs[term[:n] + "*"] >= arcs[term] for n in STEMS):
+            del arcs[term]
+    return arcs
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> Grammar:
@@ -162,30 +276,33 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64("_id")
     chosen = [may.where(F.col("label") == k).orderBy(order, "_id").limit(labelled) for k in (0, 1)]
     chosen = stage(chosen[0].unionByName(chosen[1]).dropDuplicates(["_id"]), "labelled")
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("text", "label")
-    texts = stage(texts, "labelled_texts")
-    sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    texts = stage(texts.select("text", "label", F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(2)).cast("int").alias("fold")), "labelled_texts")
+    sizes = {(r["label"], r["fold"]): r["count"] for r in texts.groupBy("label", "fold").count().collect()}
+    if {k for k, _ in sizes} != {0, 1}:
         return Grammar({})
-    counts = texts.mapInArrow(_terms, "term string, label int").groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("other"))
-    lift = ((F.col("toxic") + 0.1) / sizes[1]) / ((F.col("other") + 0.5) / sizes[0])
-    best = counts.where(F.col("toxic") >= SUPPORT).withColumn("lift", lift).where(F.col("lift") >= LIFT)
-    best = best.orderBy(F.desc(F.log("lift") * F.sqrt("toxic")), "term").limit(ARCS).collect()
-    arcs = {r["term"]: math.log(r["lift"]) for r in best}
-    for term in [t for t in arcs if not t.endswith("*")]:  # a word that a stem reads as well needs no arc
-        if any(term[:n] + "*" in arcs and arcs[term[:n] + "*"] >= arcs[term] for n in STEMS):
-            del arcs[term]
+    counts = texts.mapInArrow(_terms, "term string, label int, fold int").groupBy("term").agg(
+        *[F.sum(F.when((F.col("label") == k) & (F.col("fold") == f), 1).otherwise(0)).alias(f"{name}{f}") for name, k in (("toxic", 1), ("other", 0)) for f in (0, 1)]
+    )
+    counts = stage(counts, "terms")
+    arcs = _choose(counts, sizes, (0, 1))
+    apart = {f: _choose(counts, sizes, (1 - f,)) or arcs for f in (0, 1)}  # for the texts of a fold, from those of the other
     grammar = Grammar(arcs)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Grammar(arcs)
+        own = {f: Grammar(x) for f, x in apart.items()}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([own.features(t).tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))], names=["label", "x"])
+            found = [own[f].features(t).tolist() for t, f in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["label", "x"])
 
     rows = texts.mapInArrow(describe, "label int, x array<double>").collect()  # at most 2 * labelled rows
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)
     order = np.lexsort([*x.T, y])
-    grammar.weights = fit_logistic(x[order], y[order], np.array([times[k] for k in y[order].astype(int)]))
+    w = fit_logistic(x[order], y[order], np.array([times[k] for k in y[order].astype(int)]), np.array(PRIOR))
+    for name, part in HELD_BELOW.items():
+        at = 1 + CLASSES.index(name)
+        w[at] = min(w[at], part * max(0.0, w[1 + CLASSES.index("targeted")]))
+    grammar.weights = w
     return grammar
 
 

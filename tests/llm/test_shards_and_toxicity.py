@@ -1,6 +1,7 @@
 """Shards by their law, toxicity by held-out accuracy, the pipeline by its rows."""
 
 import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,7 +113,7 @@ def test_grammar_composes_its_transducers():
     assert kinds("you are not an idiot") == ["negated"]
     assert kinds("he said you are a moronic fool") == ["reported"]
     assert kinds("i will kill you") == ["threat_targeted"]
-    assert kinds("never kill it") == []
+    assert kinds("never kill it") == ["negated"]
 
 
 @pytest.mark.skipif("pipeline" not in __spark_entry__.queries(), reason="no pipeline here")
@@ -155,3 +156,29 @@ def test_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, samples.SF)
     assert sorted(df.columns) == columns
     assert sorted(map(tuple, df.select(*columns).collect())) == sorted(tuple(r[names.index(c)] for c in columns) for r in want.fetchall())
+
+
+def test_composition_equals_enumerated_paths():
+    rng, machines = random.Random(4), toxicity.transducers()
+    grammar = toxicity.Grammar({"idiot": 2.0, "moro*": 1.5})
+    words = ["idiot", "morons", "kill", "you", "not", "said", "tree"]
+    for _ in range(400):
+        clause = rng.choices(words, k=rng.randint(0, 9))
+        tape = grammar.read(clause)
+        paths = [[]]
+        for machine in machines:  # every way through every machine, one after the other
+            paths = [[*p, q] for p in paths for q in machine.paths([x for x, _ in tape])]
+        assert len(paths) == 1  # one accepting path each
+        marks = [frozenset().union(*m) for m in zip(*paths[0])] if tape else []
+        want = [(toxicity.CLASSES[k], w) for m, (_, w) in zip(marks, tape) if (k := toxicity.class_of(m)) >= 0]
+        assert grammar.clause(clause) == want
+
+
+def test_negated_and_reported_hits_weigh_less(spark):
+    rows = [(i, f"some words here, number {i}. " + ("you idiot!" if i % 3 == 0 else "fine."), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    grammar = toxicity.learn(docs, spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int"))
+    score = grammar.score
+    assert score("You are an idiot.") > 0.5 > score("A tree is a tree.")
+    assert score("You are an idiot.") > score("You are not an idiot.") and score("You are an idiot.") > score("They said he is an idiot.")
+    assert score("I will kill you.") > score("I will not kill you.") and score("I will kill you.") > score("A tree.")

@@ -127,3 +127,22 @@ def test_boosting_separates_and_calibrates():
 def test_no_python_in_personal_data(spark):
     plan = pii.digest(pii.find_personal_data(samples.documents(spark)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_near_misses_in_the_surroundings_of_what_passes_are_added(spark):
+    rows = [(i, f"row {i}: please call +49 (030) 555-{1000 + i} today") for i in range(80)] + [(90 + i, f"row {i}: please call (030) 555-{2000 + i} today") for i in range(4)]
+    rows += [(100 + i, f"order x{10**9 + 37 * i}y and part {10**7 + i} of lot {i}") for i in range(60)]
+    found = {r["id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    added = {(i, dict(rows)[i][x["start"] : x["end"]]) for i, r in found.items() for x in r["added"]}
+    assert added == {(90 + i, f"(030) 555-{2000 + i}") for i in range(4)}  # all of them, and nothing else
+
+
+def test_a_long_text_of_dots_and_digits_takes_little_time(spark):
+    import time
+
+    long = "1." * 100_000
+    docs = spark.createDataFrame([(1, "mail a@b.cd")], "doc_id long, text string")
+    pii.find_personal_data(docs).count()
+    began = time.time()
+    got = pii.candidates(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
+    assert len(got[0]["base"]) == 25_000 and time.time() - began < 20  # it took minutes in proportion to the square
