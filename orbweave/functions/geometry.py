@@ -227,12 +227,63 @@ def pose_apply(p: Column, v: Column) -> Column:
     return F.zip_with(rotate(p["r"], v), p["t"], lambda x, y: x + y)
 
 
+def skew(v: Column) -> Column:
+    """The matrix whose product with a vector is the cross product."""
+    zero = F.lit(0.0)
+    return vec(zero, -v[2], v[1], v[2], zero, -v[0], -v[1], v[0], zero)
+
+
+@bound
+def _turn_factors(w: Column) -> Column:
+    """(1 - cos t) / t^2 and (t - sin t) / t^3 for a rotation by t; series near zero."""
+    def parts(t2: Column) -> Column:
+        t = F.sqrt(t2)
+        return vec(F.when(t2 < 1e-8, 0.5 - t2 / 24).otherwise((1 - F.cos(t)) / t2), F.when(t2 < 1e-8, 1.0 / 6 - t2 / 120).otherwise((t - F.sin(t)) / (t2 * t)))
+
+    return let(dot(w, w), parts)
+
+
+@bound
+def _screw(w: Column, u: Column) -> Column:
+    """Where a steady turn by ``w`` takes a body that moves by ``u`` in its own frame."""
+    def moved(k: Column) -> Column:
+        once = cross(w, u)
+        return let(once, lambda c: let(cross(w, c), lambda d: vec(*[u[i] + k[0] * c[i] + k[1] * d[i] for i in range(3)])))
+
+    return let(_turn_factors(w), moved)
+
+
+@bound
+def _unscrewed(w: Column, t: Column) -> Column:
+    """The ``u`` that ``_screw`` takes to ``t``."""
+    def share(t2: Column) -> Column:
+        half = F.sqrt(t2) / 2
+        return F.when(t2 < 1e-8, 1.0 / 12 + t2 / 720).otherwise((1 - half * F.cos(half) / F.sin(half)) / t2)
+
+    def moved(k: Column) -> Column:
+        return let(cross(w, t), lambda c: let(cross(w, c), lambda d: vec(*[t[i] - 0.5 * c[i] + k * d[i] for i in range(3)])))
+
+    return let(let(dot(w, w), share), moved)
+
+
+@bound
+def se3_exp(w: Column, u: Column) -> Column:
+    """The pose that a turn ``w`` and a move ``u``, both steady and in the body's frame, lead to."""
+    return pose(so3_exp(w), _screw(w, u))
+
+
+@bound
+def se3_log(p: Column) -> Column:
+    """struct<w, u> whose ``se3_exp`` is the pose."""
+    return let(so3_log(p["r"]), lambda w: F.struct(w.alias("w"), _unscrewed(w, p["t"]).alias("u")))
+
+
 @bound
 def pose_between(a: Column, b: Column, alpha: Column) -> Column:
-    """On the way from pose ``a`` (alpha 0) to ``b`` (alpha 1): slerp of rotations, straight line of positions."""
-    t = F.zip_with(a["t"], b["t"], lambda x, y: x + alpha * (y - x))
-    q = slerp(quaternion_of_rotation(a["r"]), quaternion_of_rotation(b["r"]), alpha)
-    return let(q, lambda q: pose(rotation_of_quaternion(q[0], q[1], q[2], q[3]), t))
+    """On the steady screw motion from pose ``a`` (alpha 0) to ``b`` (alpha 1)."""
+    scaled = lambda v: F.transform(v, lambda x: x * alpha)
+    way = let(pose_compose(pose_inverse(a), b), se3_log)
+    return let(let(way, lambda g: se3_exp(scaled(g["w"]), scaled(g["u"]))), lambda g: pose_compose(a, g))
 
 
 # -- angles --------------------------------------------------------------------------------------------------------------

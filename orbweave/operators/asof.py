@@ -90,7 +90,7 @@ def trailing(left: DataFrame, right: DataFrame, span: int, time: str = "time_ns"
     return met.drop("_b", "_rb", *[f"_k_{c}" for c in keys])
 
 
-def segments(df: DataFrame, key: str, time: str = "time_ns") -> DataFrame:
-    """Each row with the time and position of the next one in its key."""
+def segments(df: DataFrame, key: str, time: str = "time_ns", id_col: str = "event_id") -> DataFrame:
+    """Each row with the time, position and id of the next one in its key; the last one of a key has none and is left out."""
     w = Window.partitionBy(key).orderBy(time)
-    return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in (time, "x", "y", "z") if c in df.columns}).where(F.col(f"next_{time}").isNotNull())
+    return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in (time, "x", "y", "z", id_col) if c in df.columns}).where(F.col(f"next_{time}").isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,6 +128,11 @@ def better_kept(a: dict, b: dict) -> bool:
     return a["prob"] >= b["prob"] - 1e-6 if abs(a["prob"] - b["prob"]) > 1e-6 else True
 
 
+def keep_order(volume: Column, support: Column, prob: Column, order: Column) -> Column:
+    """A struct that is least for the instance that ``better_kept`` keeps of many: to within its tolerances, as steps."""
+    return F.struct(-F.round(volume, 6), -support, -F.round(prob, 6), order)
+
+
 def _boxes(items: list[dict]) -> np.ndarray:
     return np.array([[x[c] for c in BOX] for x in items], float).reshape(-1, 7)
 

@@ -165,13 +165,14 @@ def f17_support(spark, sf):
 BOUNDS = "tx - (sx * abs(cos(yaw)) + sy * abs(sin(yaw))) / 2 AS min_x, tx + (sx * abs(cos(yaw)) + sy * abs(sin(yaw))) / 2 AS max_x, ty - (sx * abs(sin(yaw)) + sy * abs(cos(yaw))) / 2 AS min_y, ty + (sx * abs(sin(yaw)) + sy * abs(cos(yaw))) / 2 AS max_y, tz - sz / 2 AS min_z, tz + sz / 2 AS max_z"
 
 
-@query(D3 + f", b AS (SELECT scene_id, obj, det_id, {BOUNDS} FROM d), c AS (SELECT scene_id, obj, min(min_x) AS lx, max(max_x) AS hx, min(min_y) AS ly, max(max_y) AS hy, min(min_z) AS lz, max(max_z) AS hz FROM b WHERE det_id % 3 <> 0 GROUP BY 1, 2) "
-       "SELECT DISTINCT c.scene_id, c.obj FROM c JOIN b ON b.scene_id = c.scene_id AND b.det_id % 41 = 0 AND lx <= max_x AND min_x <= hx AND ly <= max_y AND min_y <= hy AND lz <= max_z AND min_z <= hz")
+@query(D3 + f", b AS (SELECT scene_id, obj, det_id, {BOUNDS} FROM d), c AS (SELECT scene_id, obj, min(min_x) AS lx, max(max_x) AS hx, min(min_y) AS ly, max(max_y) AS hy, min(min_z) AS lz, max(max_z) AS hz FROM b GROUP BY 1, 2) "
+       "SELECT DISTINCT c.scene_id, c.obj FROM c JOIN b ON b.scene_id = c.scene_id AND lx <= max_x + 11 AND min_x + 11 <= hx AND ly <= max_y + 2 AND min_y + 2 <= hy AND lz <= max_z AND min_z <= hz")
 def f18_aabb(spark, sf):
     from ..streaming.incremental import touched
 
     d = det3(spark, sf)
-    return touched(d.where("det_id % 3 <> 0").withColumn("stable_id", F.col("obj")), d.where("det_id % 41 = 0")).select("scene_id", F.col("stable_id").alias("obj"))
+    moved = d.withColumns({"tx": F.col("tx") + 11, "ty": F.col("ty") + 2})
+    return touched(d.withColumn("stable_id", F.col("obj")), moved).select("scene_id", F.col("stable_id").alias("obj"))
 
 
 @query(D3 + ", f AS (SELECT DISTINCT frame_id FROM d), n AS (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS n FROM f) SELECT det_id, d.frame_id FROM d JOIN n USING (frame_id) WHERE n >= 5 AND n < 205 AND (n - 5) % 3 = 0")
@@ -242,8 +243,7 @@ def w1_trail(spark, sf):
 
 @query(T + ", s AS (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY us) AS next_id FROM t) SELECT * FROM s WHERE next_id IS NOT NULL")
 def w3_segments(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("us")
-    return timed(spark, sf).select("event_id", F.lead("event_id").over(w).alias("next_id")).where("next_id is not null")
+    return asof.segments(timed(spark, sf), "user_id", "us").select("event_id", F.col("next_event_id").alias("next_id"))
 
 
 @query(T + ", o AS (SELECT user_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us) AS n FROM t), q AS (SELECT * FROM (WITH RECURSIVE k AS (SELECT user_id, us, n FROM o WHERE n = 1 UNION ALL SELECT o.user_id, CASE WHEN o.us - k.us >= 3600000000 THEN o.us ELSE k.us END, o.n FROM k JOIN o ON o.user_id = k.user_id AND o.n = k.n + 1) SELECT DISTINCT user_id, us FROM k)) SELECT user_id, count(*) AS kept FROM q GROUP BY 1")
@@ -295,7 +295,7 @@ def j18_cannot_link_edges(spark, sf):
 
 @query()
 def j10_exact_iou(spark, sf):
-    return spatial.overlap_edges(det3(spark, sf).where("prob >= 0.9"), ["scene_id"], 0.2, n=None).select("scene_id", "a", "b", r("iou"))
+    return spatial.overlap_edges(det3(spark, sf), ["scene_id"], 0.2, n=None).select("scene_id", "a", "b", r("iou"))
 
 
 @query(D2 + f"SELECT a.det_id AS a, b.det_id AS b, round({IOU2.format(a='a', b='b')}, 6) AS iou FROM d a JOIN d b ON a.frame_id = b.frame_id AND a.det_id < b.det_id WHERE {IOU2.format(a='a', b='b')} > 0.3")
@@ -306,17 +306,18 @@ def j11_iou2d(spark, sf):
     return a.join(b, "frame_id").where("a_det_id < b_det_id").withColumn("v", iou).where("v > 0.3").select(F.col("a_det_id").alias("a"), F.col("b_det_id").alias("b"), r(F.col("v")).alias("iou"))
 
 
-@query(D3 + f", b AS (SELECT det_id, {BOUNDS} FROM d WHERE det_id % 7 = 0), p AS (SELECT det_id AS pid, scene_id, tx + 0.1 AS x, ty - 0.1 AS y, tz AS z FROM d) SELECT o.det_id, count(*) AS n FROM d o JOIN p ON p.scene_id = o.scene_id WHERE o.det_id % 7 = 0 AND abs(cos(yaw) * (x - tx) + sin(yaw) * (y - ty)) < sx / 2 AND abs(cos(yaw) * (y - ty) - sin(yaw) * (x - tx)) < sy / 2 AND abs(z - tz) < sz / 2 GROUP BY 1")
+@query(D3 + f", b AS (SELECT det_id, {BOUNDS} FROM d), p AS (SELECT det_id AS pid, scene_id, tx + 0.1 AS x, ty - 0.1 AS y, tz AS z FROM d) SELECT o.det_id, count(*) AS n FROM d o JOIN p ON p.scene_id = o.scene_id WHERE abs(cos(yaw) * (x - tx) + sin(yaw) * (y - ty)) < sx / 2 AND abs(cos(yaw) * (y - ty) - sin(yaw) * (x - tx)) < sy / 2 AND abs(z - tz) < sz / 2 GROUP BY 1")
 def j13_points_in_box(spark, sf):
     d = det3(spark, sf)
     p = d.selectExpr("scene_id", "det_id as pid", "tx + 0.1E0 as x", "ty - 0.1E0 as y", "tz as z")
-    return spatial.points_in_boxes(d.where("det_id % 7 = 0"), p, ["scene_id"]).groupBy("det_id").agg(F.count("*").alias("n"))
+    return spatial.points_in_boxes(d, p, ["scene_id"]).groupBy("det_id").agg(F.count("*").alias("n"))
 
 
-@query(D3 + "SELECT det_id FROM d a WHERE det_id % 3 = 0 AND EXISTS (SELECT 1 FROM d b WHERE b.scene_id = a.scene_id AND b.det_id % 11 = 0 AND pow(a.tx - b.tx, 2) + pow(a.ty - b.ty, 2) + pow(a.tz - b.tz, 2) <= 2.25)")
+@query(D3 + "SELECT det_id FROM d a WHERE EXISTS (SELECT 1 FROM d b WHERE b.scene_id = a.scene_id AND pow(a.tx - b.tx - 7.5, 2) + pow(a.ty - b.ty - 7.5, 2) + pow(a.tz - b.tz, 2) <= 2.25)")
 def j14_radius(spark, sf):
     d = det3(spark, sf)
-    return spatial.within_distance(d.where("det_id % 3 = 0"), d.where("det_id % 11 = 0"), ["scene_id"], 1.5).select("det_id")
+    moved = d.withColumns({"tx": F.col("tx") + 7.5, "ty": F.col("ty") + 7.5})
+    return spatial.within_distance(d, moved, ["scene_id"], 1.5).select("det_id")
 
 
 @query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.4")
@@ -330,7 +331,7 @@ def j15_cosine(spark, sf):
 
 @query()
 def j16_assignment(spark, sf):
-    e = spatial.overlap_edges(det3(spark, sf).where("prob >= 0.8"), ["scene_id"], 0.2)
+    e = spatial.overlap_edges(det3(spark, sf), ["scene_id"], 0.2)
     return greedy.assign_grouped(e.select("scene_id", "a", "b", (1 - F.col("iou")).alias("cost")), "scene_id", "a", "b", "cost").select("scene_id", "a", "b", r("cost"))
 
 
@@ -353,9 +354,9 @@ def d1_nms2d(spark, sf):
     return greedy.suppress_2d(det2(spark, sf)).select("det_id", "frame_id")
 
 
-@query(D3 + ", v AS (SELECT scene_id, obj, det_id, sx * sy * sz AS vol, prob, row_number() OVER (PARTITION BY scene_id, obj ORDER BY round(sx * sy * sz, 9) DESC, round(prob, 9) DESC, det_id) AS n FROM d) SELECT scene_id, obj, det_id FROM v WHERE n = 1")
+@query(D3 + ", v AS (SELECT scene_id, obj, det_id, sx * sy * sz AS vol, prob, row_number() OVER (PARTITION BY scene_id, obj ORDER BY round(sx * sy * sz, 6) DESC, det_id % 3 DESC, round(prob, 6) DESC, det_id) AS n FROM d) SELECT scene_id, obj, det_id FROM v WHERE n = 1")
 def d5_keep_rule(spark, sf):
-    best = F.max_by("det_id", F.struct(F.round(F.col("sx") * F.col("sy") * F.col("sz"), 9), F.round("prob", 9), -F.col("det_id")))
+    best = F.min_by("det_id", greedy.keep_order(F.col("sx") * F.col("sy") * F.col("sz"), F.col("det_id") % 3, F.col("prob"), F.col("det_id")))
     return det3(spark, sf).groupBy("scene_id", "obj").agg(best.alias("det_id"))
 
 
@@ -447,11 +448,11 @@ def a10_masked_median(spark, sf):
     return det3(spark, sf).withColumn("z", F.when(F.col("prob") >= 0.7, F.col("tz"))).groupBy("frame_id").agg(F.coalesce(r(fuse.lower_median("z")), F.lit(-1.0)).alias("depth"))
 
 
-@query(D3 + GRID.replace("k AS (SELECT * FROM d WHERE prob >= 0.55)", "k AS (SELECT * FROM d WHERE det_id % 10 = 1), k2 AS (SELECT * FROM d WHERE det_id % 10 = 2)").replace("FROM k a JOIN k b ON a.scene_id = b.scene_id AND a.det_id < b.det_id", "FROM k a JOIN k2 b ON a.scene_id = b.scene_id AND a.label = b.label") +
+@query(D3 + GRID.replace("k AS (SELECT * FROM d WHERE prob >= 0.55)", "k AS (SELECT * FROM d), k2 AS (SELECT det_id, scene_id, frame_id, label, tx + 0.15 AS tx, ty - 0.1 AS ty, tz, sx, sy, sz, yaw, prob FROM d)").replace("FROM k a JOIN k b ON a.scene_id = b.scene_id AND a.det_id < b.det_id", "FROM k a JOIN k2 b ON a.scene_id = b.scene_id AND a.label = b.label") +
        ", f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY iou DESC, b) AS n FROM e WHERE iou > 0.2), s2 AS (SELECT f.*, row_number() OVER (PARTITION BY b ORDER BY k.prob DESC, iou DESC, a) AS m FROM f JOIN k ON k.det_id = f.a WHERE n = 1), t AS (SELECT count(*) AS hits FROM s2 WHERE m = 1) SELECT hits, round(hits / (SELECT count(*) FROM k)::DOUBLE, 6) AS precision, round(hits / (SELECT count(*) FROM k2)::DOUBLE, 6) AS recall FROM t")
 def a11_prec_recall(spark, sf):
     d = det3(spark, sf)
-    return fuse.precision_recall(d.where("det_id % 10 = 1"), d.where("det_id % 10 = 2"), ["scene_id"]).select("hits", r("precision"), r("recall"))
+    return fuse.precision_recall(d, d.withColumns({"tx": F.col("tx") + 0.15, "ty": F.col("ty") - 0.1}), ["scene_id"]).select("hits", r("precision"), r("recall"))
 
 
 @query(T + ", g AS (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS gap FROM t) SELECT user_id, round(1e6 / median(gap), 6) AS fps FROM g WHERE gap > 0 GROUP BY 1")
@@ -513,13 +514,15 @@ def g7_exp_log(spark, sf):
     return d.select("det_id", r(F.sqrt(geometry.dot(geometry.so3_log(F.col("m")), geometry.so3_log(F.col("m"))))).alias("angle"), r(geometry.so3_log(F.col("m"))[2]).alias("z"))
 
 
-@query(D3 + "SELECT det_id, round(yaw * 0.25, 4) + 0.0 AS yaw FROM d")
+@query(D3 + """, w AS (SELECT det_id, yaw + 0.7 AS w, tx, ty, tz FROM d), f AS (SELECT *, sin(w) / w AS a, (1 - cos(w)) / w AS b, 0.3 * w AS h FROM w),
+u AS (SELECT *, 0.3 * (a * tx + b * ty) / (a * a + b * b) AS ux, 0.3 * (a * ty - b * tx) / (a * a + b * b) AS uy FROM f)
+SELECT det_id, round(h, 6) + 0.0 AS yaw, round((sin(h) * ux - (1 - cos(h)) * uy) / h + 1, 6) + 0.0 AS x, round(((1 - cos(h)) * ux + sin(h) * uy) / h + 2, 6) + 0.0 AS y, round(0.3 * tz + 3, 6) + 0.0 AS z FROM u""")
 def g9_pose_between(spark, sf):
-    none, own = F.lit(0.0), F.col("yaw")
-    a, b = (geometry.pose(geometry.rotation_of_euler(none, none, y), geometry.vec(0, 0, 0)) for y in (none, own))
-    d = det3(spark, sf).withColumn("p", geometry.pose_between(a, b, F.lit(0.25)))
-    # below the slerp threshold the way is straight, which bends the angle by less than a millionth here
-    return d.select("det_id", r(geometry.yaw_of_rotation(F.col("p.r")), 4).alias("yaw"))
+    none = F.lit(0.0)
+    a = geometry.pose(geometry.rotation_of_euler(none, none, none), geometry.vec(1, 2, 3))
+    b = geometry.pose(geometry.rotation_of_euler(none, none, F.col("yaw") + 0.7), geometry.vec(F.col("tx") + 1, F.col("ty") + 2, F.col("tz") + 3))
+    d = det3(spark, sf).withColumn("p", geometry.pose_between(a, b, F.lit(0.3)))
+    return d.select("det_id", r(geometry.yaw_of_rotation(F.col("p.r"))).alias("yaw"), *[r(F.col("p.t")[i]).alias(n) for i, n in enumerate("xyz")])
 
 
 @query(D3 + ", s AS (SELECT * FROM (VALUES (-1, -1), (-1, 1), (1, -1), (1, 1)) v(i, j)) SELECT det_id, round(max(tx + cos(yaw) * i * sx / 2 - sin(yaw) * j * sy / 2), 6) + 0.0 AS max_x, round(min(ty + sin(yaw) * i * sx / 2 + cos(yaw) * j * sy / 2), 6) + 0.0 AS min_y, round(any_value(sx * sy * sz), 6) AS volume FROM d, s GROUP BY 1")
@@ -546,12 +549,17 @@ def c1_project(spark, sf):
     return det3(spark, sf).withColumn("uv", uv).select("det_id", r(F.col("uv")[0], 4).alias("u"), r(F.col("uv")[1], 4).alias("v"), camera.in_image(F.col("uv")[0], F.col("uv")[1], F.lit(1280), F.lit(720)).alias("seen"))
 
 
-@query(D3 + "SELECT det_id, round(500 * atan(q) / q * x + 640, 4) AS u FROM (SELECT det_id, (tx - 6) / (ty + 5) AS x, sqrt(pow((tx - 6) / (ty + 5), 2) + pow((tz - 1) / (ty + 5), 2)) AS q FROM d) WHERE q > 1e-9")
+@query(D3 + """, n AS (SELECT det_id, (tx - 6) / (ty + 5) AS x, (tz - 1) / (ty + 5) AS y FROM d), q AS (SELECT *, sqrt(x * x + y * y) AS q, atan(sqrt(x * x + y * y)) AS h FROM n),
+m AS (SELECT *, CASE WHEN q < 1e-12 THEN 1 ELSE h * (1 + 0.1 * pow(h, 2) - 0.02 * pow(h, 4) + 0.003 * pow(h, 6) + 0.004 * pow(h, 8) - 0.005 * pow(h, 10) + 0.0006 * pow(h, 12)) / q END AS k FROM q),
+e AS (SELECT det_id, x * k AS x, y * k AS y, x * k * x * k + y * k * y * k AS r2 FROM m)
+SELECT det_id, round(500 * (x + (2 * x * x + r2) * 0.01 - 2 * x * y * 0.02 + 0.003 * r2 - 0.001 * r2 * r2) + 640, 4) AS u, round(400 * (y + 2 * x * y * 0.01 - (2 * y * y + r2) * 0.02 + 0.002 * r2 + 0.0005 * r2 * r2) + 360, 4) AS v FROM e""")
 def c2_fisheye(spark, sf):
-    d = det3(spark, sf).where("sqrt(pow((tx - 6) / (ty + 5), 2) + pow((tz - 1) / (ty + 5), 2)) > 1e-9")
-    zeros = lambda n: F.array(*[F.lit(0.0)] * n)
-    uv = camera.fisheye_project(geometry.vec(F.col("tx") - 6, F.col("tz") - 1, F.col("ty") + 5), F.lit(500.0), F.lit(500.0), F.lit(640.0), F.lit(360.0), zeros(6), zeros(2), zeros(4))
-    return d.select("det_id", r(uv[0], 4).alias("u"))
+    of_ = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    uv = camera.fisheye_project(
+        geometry.vec(F.col("tx") - 6, F.col("tz") - 1, F.col("ty") + 5), F.lit(500.0), F.lit(400.0), F.lit(640.0), F.lit(360.0),
+        of_(0.1, -0.02, 0.003, 0.004, -0.005, 0.0006), of_(0.01, -0.02), of_(0.003, -0.001, 0.002, 0.0005),
+    )
+    return det3(spark, sf).select("det_id", r(uv[0], 4).alias("u"), r(uv[1], 4).alias("v"))
 
 
 @query(D2 + "SELECT det_id, 250.0::DOUBLE AS fx, (x1 + 0.5) * 0.5 - 0.5 AS cx FROM d")
@@ -576,9 +584,13 @@ def k4_sfm_export(spark, sf):
     return writers.exported(d.withColumn("fid", F.col("det_id")).withColumn("inst_id", F.col("det_id")), v).select(F.col("fused_instance").alias("det_id"), r("tx"), r("ty"), r("tz"), "name")
 
 
-@query(D3 + "SELECT DISTINCT det_id, CASE WHEN det_id = 0 THEN 230 WHEN det_id = 9 THEN 250 ELSE (73 * det_id + 97) % 256 END AS r FROM d WHERE det_id = 0 OR det_id >= 9")
+TEN = {"r": (230, 60, 255, 0, 245, 145, 70, 240, 210, 250), "g": (25, 180, 225, 130, 130, 30, 240, 50, 245, 190), "b": (75, 75, 25, 200, 48, 180, 240, 230, 60, 190)}
+THEN = {"r": (73, 97), "g": (151, 53), "b": (199, 211)}
+
+
+@query(D3 + "SELECT det_id, " + ", ".join(f"CASE WHEN det_id < 10 THEN {list(TEN[c])}[det_id + 1] ELSE ({THEN[c][0]} * det_id + {THEN[c][1]}) % 256 END AS {c}" for c in "rgb") + " FROM d")
 def k5_instance_color(spark, sf):
-    return det3(spark, sf).where("det_id = 0 or det_id >= 9").select("det_id", text.instance_colour(F.col("det_id"))[0].cast("long").alias("r"))
+    return det3(spark, sf).select("det_id", *[text.instance_colour(F.col("det_id"))[i].cast("long").alias(c) for i, c in enumerate("rgb")])
 
 
 @query("SELECT conv_id, turn, rpad(left(role, 8), 8, ' ') AS padded FROM conversations")

@@ -173,9 +173,9 @@ def read_images_json(spark: SparkSession, path: str, categories: list[str] | Non
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(path, m): all numbers of each text file in order; files that hold anything else, or no finite number, give null."""
-    words = F.split(F.trim("value"), r"\s+")
+    words = F.regexp_extract_all("value", F.lit(r"(\S+)"), F.lit(1))
     m = F.transform(words, lambda x: x.try_cast("double"))
-    bad = F.exists(m, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = (F.size(m) == 0) | F.exists(m, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.when(~bad, m).alias("m"))
 
 
