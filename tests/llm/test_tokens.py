@@ -174,6 +174,16 @@ def test_scoring_gives_what_the_trained_mixture_weighs():
         assert abs(np.log10(p).sum() - score) < 1e-4 * len(ids)
 
 
+@pytest.mark.parametrize("bound", [1, 64 << 20])
+def test_words_counted_in_bulk_are_those_of_each_text(spark, monkeypatch, bound):
+    monkeypatch.setattr(attention_lm, "COUNTED_BYTES", bound)
+    texts = [None, "", "   ", "  A b\x0b\u00c9 x\x1cy ", "\x85x \xa0 y\t", "a " * 70_000, *[f"w{i} W{i % 7}" for i in range(200)]]
+    want = Counter(w for t in texts for w in [*attention_lm.words_of(t or ""), b""])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {bytes(r["word"]): r["n"] for r in attention_lm.count_words(docs).collect()} == dict(want)
+    assert attention_lm.count_words(docs.where("false")).count() == 0
+
+
 def test_attention_is_causal():
     model = attention_lm.AttentionMixture(50).prepare()
     x = np.random.default_rng(0).integers(0, 49, (1, attention_lm.WINDOW))
