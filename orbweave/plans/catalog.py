@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import camera, geometry, text
+from ..functions import boxes, camera, geometry, text
 from ..operators import asof, filters, fuse, greedy, spatial, tracking
 from ..operators.graph import components
 from ..sources import writers
@@ -537,11 +537,69 @@ def g21_inside(spark, sf):
     return det3(spark, sf).select("det_id", geometry.inside_yaw_box(c[0] + 0.4, c[1] + 0.3, c[2], *c).alias("inside"))
 
 
-@query(D3 + "SELECT det_id, i, round(tx - sx / 2 + sx * (i + 0.5) / 4, 6) + 0.0 AS x FROM (SELECT * FROM d WHERE det_id < 500), (SELECT unnest(range(4)) AS i)".replace("(SELECT * FROM d WHERE det_id < 500)", "d"))
+@query(D3 + "SELECT det_id, i, round(tx - sx / 2 + sx * (i + 0.5) / 4, 6) + 0.0 AS x FROM d, (SELECT unnest(range(4)) AS i)")
 def g22_voxels(spark, sf):
     return det3(spark, sf).select("det_id", F.posexplode(geometry.voxel_centres(F.col("tx") - F.col("sx") / 2, F.col("tx") + F.col("sx") / 2, 4)).alias("i", "x")).select("det_id", F.col("i").cast("long").alias("i"), r("x"))
 
 
+def _placed(spark, sf):
+    """Boxes with centre, size and rotation as arrays."""
+    turn = geometry.rotation_of_euler(F.lit(0.0), F.lit(0.0), F.col("yaw"))
+    return det3(spark, sf).select("det_id", "scene_id", "frame_id", F.array("tx", "ty", "tz").alias("c"), F.array("sx", "sy", "sz").alias("s"), turn.alias("r"))
+
+
+@query(D3 + """, q AS (SELECT a.axis, s.i, s.j, k.k FROM (SELECT unnest(range(3)) AS axis) a, (SELECT * FROM (VALUES (-1, -1), (-1, 1), (1, -1), (1, 1)) v(i, j)) s, (SELECT unnest(range(3)) AS k) k),
+p AS (SELECT axis * 12 + ((i + 1) + (j + 1) // 2) * 3 + k AS pos, CASE axis WHEN 0 THEN k - 1 ELSE i END AS x, CASE axis WHEN 0 THEN i WHEN 1 THEN k - 1 ELSE j END AS y, CASE axis WHEN 2 THEN k - 1 ELSE j END AS z FROM q)
+SELECT det_id, pos, round(tx + cos(yaw) * x * sx / 2 - sin(yaw) * y * sy / 2, 6) + 0.0 AS x, round(ty + sin(yaw) * x * sx / 2 + cos(yaw) * y * sy / 2, 6) + 0.0 AS y, round(tz + z * sz / 2, 6) + 0.0 AS z FROM d, p""")
+def g18_edges(spark, sf):
+    d = _placed(spark, sf).select("det_id", F.posexplode(boxes.edge_points(F.col("c"), F.col("s"), F.col("r"), 3)).alias("pos", "p"))
+    return d.select("det_id", F.col("pos").cast("long").alias("pos"), *[r(F.col("p")[i]).alias(n) for i, n in enumerate("xyz")])
+
+
+@query(D3 + ", q AS (SELECT i * 6 + j * 2 + k AS pos, (i + 0.5E0) / 2 - 0.5 AS x, (j + 0.5E0) / 3 - 0.5 AS y, (k + 0.5E0) / 2 - 0.5 AS z FROM (SELECT unnest(range(2)) AS i), (SELECT unnest(range(3)) AS j), (SELECT unnest(range(2)) AS k)) SELECT det_id, pos, round(tx + cos(yaw) * x * sx - sin(yaw) * y * sy, 6) + 0.0 AS x, round(ty + sin(yaw) * x * sx + cos(yaw) * y * sy, 6) + 0.0 AS y, round(tz + z * sz, 6) + 0.0 AS z FROM d, q")
+def g22_voxel_grid(spark, sf):
+    d = _placed(spark, sf).select("det_id", F.posexplode(boxes.voxel_grid(F.col("c"), F.col("s"), F.col("r"), 2, 3, 2)).alias("pos", "p"))
+    return d.select("det_id", F.col("pos").cast("long").alias("pos"), *[r(F.col("p")[i]).alias(n) for i, n in enumerate("xyz")])
+
+
+@query(D3 + """, p AS (SELECT scene_id, i, pi() * i / 19 AS a, cos(pi() * i / 19) * tx + sin(pi() * i / 19) * ty AS u, cos(pi() * i / 19) * ty - sin(pi() * i / 19) * tx AS v, tz FROM d, (SELECT unnest(range(20)) AS i)),
+b AS (SELECT scene_id, i, a, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1, min(tz) AS z0, max(tz) AS z1 FROM p GROUP BY ALL HAVING count(*) > 1)
+SELECT scene_id, round(a, 6) AS yaw, round(u1 - u0, 6) AS sx, round(v1 - v0, 6) AS sy, round(z1 - z0, 6) AS sz, round(cos(a) * (u0 + u1) / 2 - sin(a) * (v0 + v1) / 2, 6) + 0.0 AS tx, round(sin(a) * (u0 + u1) / 2 + cos(a) * (v0 + v1) / 2, 6) + 0.0 AS ty, round((z0 + z1) / 2, 6) + 0.0 AS tz
+FROM b QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY round((u1 - u0) * (v1 - v0) * (z1 - z0), 9), i) = 1""")
+def g23_fit_points(spark, sf):
+    out = boxes.fit_boxes(det3(spark, sf), ["scene_id"], "tx", "ty", "tz")
+    return out.select("scene_id", *[r(n).alias(n) for n in ("yaw", "sx", "sy", "sz", "tx", "ty", "tz")])
+
+
+@query(D3 + "SELECT det_id, i AS pos, round(tx + (sx - tx) * i / 4.0E0, 6) + 0.0 AS x, round(tz + (sz - tz) * i / 4.0E0, 6) + 0.0 AS z FROM d, (SELECT unnest(range(5)) AS i)")
+def g24_linspace(spark, sf):
+    d = _placed(spark, sf).select("det_id", F.posexplode(boxes.linspace(F.col("c"), F.col("s"), 5)).alias("pos", "p"))
+    return d.select("det_id", F.col("pos").cast("long").alias("pos"), r(F.col("p")[0]).alias("x"), r(F.col("p")[2]).alias("z"))
+
+
+@query(D3 + "SELECT det_id, round(tx + cos(yaw) * 0.25 - sin(yaw) * 0.5, 6) + 0.0 AS tx, round(ty + sin(yaw) * 0.25 + cos(yaw) * 0.5, 6) + 0.0 AS ty, round(tz - 0.5, 6) + 0.0 AS tz, round(-(sx + 0.5) / 2, 6) AS low_x, round((sx + 0.5) / 2, 6) AS high_x FROM d")
+def g19_recentred(spark, sf):
+    low = F.transform("s", lambda x: -x / 2)
+    high = F.zip_with(F.transform("s", lambda x: x / 2), geometry.vec(0.5, 1.0, -1.0), lambda a, b: a + b)
+    d = _placed(spark, sf).select("det_id", boxes.recentred(geometry.pose(F.col("r"), F.col("c")), low, high).alias("b"))
+    return d.select("det_id", *[r(F.col("b.t")[i]).alias(f"t{n}") for i, n in enumerate("xyz")], r(F.col("b.low")[0]).alias("low_x"), r(F.col("b.high")[0]).alias("high_x"))
+
+
+@query(D2 + """, b AS (SELECT det_id, CASE WHEN det_id % 3 = 0 THEN [-1.0E0, -1.0E0, -1.0E0, -1.0E0] ELSE [x1, x2, y1, y2] END AS b FROM d)
+SELECT det_id, CASE WHEN b[1] = -1 THEN -1 ELSE b[1] * 0.5 END AS x1_scaled, CASE WHEN b[4] = -1 THEN -1 ELSE b[4] * 0.25 END AS y2_scaled, b[2] - 40 AS x2_cropped, b[3] - 30 AS y1_cropped,
+ CASE WHEN b[1] < 0 THEN b[1] ELSE 1000 - b[4] - 1 END AS x1_turned, CASE WHEN b[3] < 0 THEN b[3] ELSE b[1] END AS y1_turned FROM b""")
+def g26_image_edits(spark, sf):
+    b = F.when(F.col("det_id") % 3 == 0, geometry.vec(-1, -1, -1, -1)).otherwise(F.array("x1", "x2", "y1", "y2"))
+    d = det2(spark, sf).select("det_id", b.alias("b"))
+    scaled, cropped, turned = boxes.scaled_bb2(F.col("b"), F.lit(0.5), F.lit(0.25)), boxes.cropped_bb2(F.col("b"), F.lit(40.0), F.lit(30.0)), boxes.turned_bb2(F.col("b"), F.lit(1000.0))
+    return d.select("det_id", scaled[0].alias("x1_scaled"), scaled[3].alias("y2_scaled"), cropped[1].alias("x2_cropped"), cropped[2].alias("y1_cropped"), turned[0].alias("x1_turned"), turned[2].alias("y1_turned"))
+
+
+@query(D3 + "SELECT det_id, CASE WHEN least(abs(sx - 1.5), abs(sy - 1.5), abs(sz - 1.5)) = abs(sx - 1.5) THEN 0 WHEN least(abs(sy - 1.5), abs(sz - 1.5)) = abs(sy - 1.5) THEN 1 ELSE 2 END AS pos FROM d")
+def j2_nearest_entry(spark, sf):
+    return _placed(spark, sf).select("det_id", boxes.nearest_position(F.col("s"), F.lit(1.5)).cast("int").alias("pos"))
+
+
 @query(D3 + "SELECT det_id, round(500 * (tx - 6) / (ty + 5) + 640, 4) AS u, round(500 * (tz - 1) / (ty + 5) + 360, 4) AS v, 500 * (tx - 6) / (ty + 5) + 640 BETWEEN 0 AND 1279 AND 500 * (tz - 1) / (ty + 5) + 360 BETWEEN 0 AND 719 AS seen FROM d")
 def c1_project(spark, sf):
     p = geometry.vec(F.col("tx") - 6, F.col("tz") - 1, F.col("ty") + 5)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.functions import camera, geometry, text
+from orbweave.functions import boxes, camera, geometry, text
 
 
 def one(spark, column):
@@ -90,3 +90,39 @@ def test_labels_and_colours(spark):
     assert one(spark, text.instance_colour(F.lit(10))) == [(73 * 10 + 97) % 256, (151 * 10 + 53) % 256, (199 * 10 + 211) % 256]
     assert one(spark, text.hex_colour(F.lit("#0a10ff"))) == [10, 16, 255] and one(spark, text.hex_colour(F.lit("red"))) is None
     assert one(spark, text.contains_chinese(F.lit("a椅"))) and not one(spark, text.contains_chinese(F.lit("chair")))
+
+
+def test_nearest_rotation_of_a_matrix_that_is_nearly_one(spark):
+    r = rotation(spark, 0.3, -0.5, 1.1)
+    near = r + 0.01 * np.random.default_rng(1).standard_normal((3, 3))
+    u, _, v = np.linalg.svd(near)
+    got = np.array(one(spark, boxes.nearest_rotation(F.array(*lits(*near.ravel()))))).reshape(3, 3)
+    assert got == pytest.approx(u @ v, abs=1e-5) and np.abs(near - u @ v).max() > 1e-3
+
+
+def test_fitted_box_holds_its_points(spark):
+    rng = np.random.default_rng(2)
+    yaw = 5 * math.pi / 19
+    local = rng.uniform(-0.5, 0.5, (400, 3)) * (4, 1, 2)
+    turned = np.stack([math.cos(yaw) * local[:, 0] - math.sin(yaw) * local[:, 1], math.sin(yaw) * local[:, 0] + math.cos(yaw) * local[:, 1], local[:, 2]], 1) + (3, -2, 1)
+    rows = [("a", *map(float, p)) for p in turned] + [("single", 0.0, 0.0, 0.0), ("twice", 1.0, 1.0, 1.0), ("twice", 1.0, 1.0, 1.0)]
+    got = {x["k"]: x for x in boxes.fit_boxes(spark.createDataFrame(rows, "k string, x double, y double, z double"), ["k"]).collect()}
+    assert set(got) == {"a", "twice"}
+    assert (got["a"]["yaw"], got["a"]["sx"], got["a"]["sy"]) == pytest.approx((yaw, *np.ptp(local, 0)[:2])) and got["twice"]["yaw"] == 0
+
+
+@pytest.mark.parametrize("size, want", [((1600, 900), (640, 360, 0, 0)), ((100, 300), (120, 360, 260, 0)), ((1000, 100), (640, 64, 0, 148)), ((0, 0), (1, 1, 319, 179))])
+def test_fitted_panel(spark, size, want):
+    assert tuple(one(spark, boxes.fitted_panel(F.lit(size[0]), F.lit(size[1]), 640))) == want
+
+
+def test_nearest_position_takes_the_first_of_equals(spark):
+    assert one(spark, boxes.nearest_position(F.array(*lits(5, 1, 3, 1)), F.lit(2.0))) == 1
+    assert one(spark, boxes.nearest_position(F.array(*lits(5, 2, 2)), F.lit(2.0))) == 1
+    assert one(spark, boxes.nearest_position(F.expr("array(cast(null as double), 4D)"), F.lit(2.0))) == 1
+    assert one(spark, boxes.nearest_position(F.expr("cast(array() as array<double>)"), F.lit(2.0))) is None
+
+
+def test_unseen_boxes_stay(spark):
+    assert one(spark, boxes.scaled_bb2(F.array(*lits(-1, -1, -1, -1)), *lits(2, 2))) == [-1] * 4
+    assert one(spark, boxes.turned_bb2(F.array(*lits(-1, 5, 2, 8)), F.lit(10.0))) == [-1, 7, -1, 5]
