@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, block_naming, bpe, kd_sharding, packing, pii, rp_forest, secret_scan, simhash, toxicity
+from . import attention_lm, block_naming, bpe, conversations, filter_audit, kd_sharding, mixing, packing, pii, rp_forest, secret_scan, simhash, toxicity
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -56,7 +56,21 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_sharding, op4_bpe, op5_pii, op6_toxicity, op7_packing, op8_simhash, op9_embeddings, op10_lm_scores)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), epochs=3)
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    hurt = conversations.damaged(rows).withColumnRenamed("conv", "conv_id")
+    return conversations.repair_report(hurt, ids=rows.select(F.col("conv_id").alias("conv")))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_sharding, op4_bpe, op5_pii, op6_toxicity, op7_packing, op8_simhash, op9_embeddings, op10_lm_scores, op11_filter_audit, op12_mixing, op13_conversations)}
 
 def _secrets_sql() -> str:
     """Spans by cutting each text at its matches: a match starts after the pieces and matches before it."""
