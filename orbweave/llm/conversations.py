@@ -105,7 +105,7 @@ class Joined:
 _WAY = pa.struct([("entry", pa.int32()), ("after", pa.int32()), ("cost", pa.int64()), ("audit", pa.string())])
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], stretch: int) -> Iterator[pa.RecordBatch]:
     """Sorted slim rows (conv, at, initial, fault, again, times) to stretches with the cheapest edits between states.
 
     ``again`` is the fault of the repeats of a row that comes ``times`` times.
@@ -135,7 +135,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(times):
                 begin = begin if rows else at
                 rows.append((initial, again if k else fault))
-                if len(rows) == STRETCH:
+                if len(rows) == stretch:
                     close(now, begin, rows, opens, False)
                     nth, rows, opens = nth + 1, [], False
                     if len(found) >= 256:
@@ -269,7 +269,7 @@ def faults(rows: DataFrame) -> DataFrame:
     return met.select("conv", "turn", "role", "digest", "times", fault.alias("fault"), F.when(F.col("own") == BLANK, BLANK).otherwise(DUPLICATE).alias("again"))
 
 
-def _records(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def _records(rows: DataFrame, ids: DataFrame, stretch: int) -> DataFrame:
     """Summaries, stretches and rows of conversations, each conversation in one partition, in order."""
     slim = faults(rows)
     first, more = F.col("fault"), F.col("times") - 1
@@ -283,7 +283,7 @@ def _records(rows: DataFrame, ids: DataFrame) -> DataFrame:
     order = [F.asc_nulls_first(c) for c in ("conv", "turn", "role", "digest")]
     placed = slim.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     conv = rows.schema["conv"].dataType.simpleString()
-    found = placed.select("conv", "at", F.substring("role", 1, 1).alias("initial"), "fault", "again", "times").mapInArrow(_search, f"conv {conv}, at long, nth long, first string, last string, illegal long, ways array<struct<entry: int, after: int, cost: bigint, audit: string>>")
+    found = placed.select("conv", "at", F.substring("role", 1, 1).alias("initial"), "fault", "again", "times").mapInArrow(lambda batches: _search(batches, stretch), f"conv {conv}, at long, nth long, first string, last string, illegal long, ways array<struct<entry: int, after: int, cost: bigint, audit: string>>")
     texts = rows.select("conv", F.lit(2).alias("kind"), "turn", "role", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
     both = summaries.unionByName(found.withColumn("kind", F.lit(1)), True).unionByName(texts, True)
     both = both.repartition("conv").sortWithinPartitions(*map(F.asc_nulls_first, ("conv", "kind", "at", "nth", "turn", "role", "digest")))
@@ -295,18 +295,18 @@ def _named(convs: DataFrame, conv_col: str, turn_col: str, role_col: str, text_c
     return convs.select(F.col(conv_col), F.col(turn_col), space(role_col), space(text_col)).toDF("conv", "turn", "role", "text")
 
 
-def repair_report(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", ids: DataFrame | None = None) -> DataFrame:
+def repair_report(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", ids: DataFrame | None = None, stretch: int = STRETCH) -> DataFrame:
     """A row per conversation: faults, cost and initials of the cheapest edits, digest of the repaired conversation.
 
     ``ids`` (column ``conv``): all conversations to report, those without rows too; without it those that have rows.
     """
     rows = _named(conversations, conv_col, turn_col, role_col, text_col)
     conv = rows.schema["conv"].dataType.simpleString()
-    return _records(rows, rows if ids is None else ids).mapInArrow(_report, f"conv {conv}, {_REPORT}").withColumnRenamed("conv", conv_col)
+    return _records(rows, rows if ids is None else ids, stretch).mapInArrow(_report, f"conv {conv}, {_REPORT}").withColumnRenamed("conv", conv_col)
 
 
-def repaired_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def repaired_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", stretch: int = STRETCH) -> DataFrame:
     """The repaired conversations: (conversation, at, role, text, edit), a row per turn that stays (K, R) or was put in (I), numbered from 0."""
     rows = _named(conversations, conv_col, turn_col, role_col, text_col)
     conv = rows.schema["conv"].dataType.simpleString()
-    return _records(rows, rows).mapInArrow(_repaired, f"conv {conv}, at long, role string, text string, edit string").withColumnRenamed("conv", conv_col)
+    return _records(rows, rows, stretch).mapInArrow(_repaired, f"conv {conv}, at long, role string, text string, edit string").withColumnRenamed("conv", conv_col)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, block_naming, bpe, conversations, filter_audit, kd_sharding, mixing, packing, pii, rp_forest, secret_scan, simhash, toxicity
+from . import attention_lm, block_naming, bpe, conversations, filter_audit, kd_sharding, mixing, oracles, packing, pii, rp_forest, secret_scan, simhash, toxicity
 from .common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -102,4 +102,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 F
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.x, b.x) / (a.r * b.r) >= 0.95),
 w AS (SELECT * FROM (WITH RECURSIVE q AS (SELECT vec_id AS node, vec_id AS seen FROM v UNION SELECT q.node, l.b FROM q JOIN l ON l.a = q.seen) SELECT node, min(seen) AS component_id FROM q GROUP BY 1)),
 c AS (SELECT a, count(*) AS k FROM l GROUP BY 1) SELECT w.node AS vec_id, coalesce(k, 0) AS n_links, component_id, node = component_id AS kept FROM w LEFT JOIN c ON c.a = w.node""",
+    "op11_filter_audit": oracles.FILTER_AUDIT,
+    "op12_mixing": oracles.MIXING,
+    "op13_conversations": oracles.CONVERSATIONS,
 }
