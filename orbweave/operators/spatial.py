@@ -71,36 +71,68 @@ def sampled_iou(a: np.ndarray, b: np.ndarray, n: int = 8) -> np.ndarray:
     return inter / (area_a * a[:, 5] + area_b * b[:, 5] - inter + 1e-8)
 
 
-def _footprint(box: np.ndarray) -> list[tuple[float, float]]:
-    c, s = np.cos(box[6]), np.sin(box[6])
-    return [(box[0] + c * x - s * y, box[1] + s * x + c * y) for x, y in ((-box[3] / 2, -box[4] / 2), (box[3] / 2, -box[4] / 2), (box[3] / 2, box[4] / 2), (-box[3] / 2, box[4] / 2))]
-
-
-def _clipped_area(shape: list, window: list) -> float:
-    """Area of a convex polygon cut by each side of another in turn."""
-    for (ax, ay), (bx, by) in zip(window, window[1:] + window[:1]):
-        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: B023, E731
-        kept = []
-        for p, q in zip(shape, shape[1:] + shape[:1]):
-            u, v = side(p), side(q)
-            if u >= 0:
-                kept.append(p)
-            if (u > 0 > v) or (u < 0 < v):
-                t = u / (u - v)
-                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        shape = kept
-        if not shape:
-            return 0.0
-    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(shape, shape[1:] + shape[:1]))) / 2
+#: Sides of footprints nearer to each other than this lie on each other.
+TOUCH = 1e-12
+#: Corners of a unit footprint, anticlockwise.
+_CORNERS = np.array([(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)])
+
+
+def _turned(x: np.ndarray, y: np.ndarray, yaw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c, s = np.cos(yaw)[:, None], np.sin(yaw)[:, None]
+    return c * x - s * y, s * x + c * y
+
+
+def _cut(x: np.ndarray, y: np.ndarray, half: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where (shares of its length) each side of a footprint enters and leaves a rectangle about the origin, grown by ``slack``."""
+    dx, dy = np.roll(x, -1, 1) - x, np.roll(y, -1, 1) - y
+    enter, leave = np.zeros_like(x), np.ones_like(x)
+    for at, way, most in ((x, dx, half[:, :1] + slack), (y, dy, half[:, 1:] + slack)):
+        still = np.abs(way) < 1e-15
+        safe = np.where(still, 1.0, way)
+        first, second = (-most - at) / safe, (most - at) / safe
+        enter = np.maximum(enter, np.where(still, np.where(np.abs(at) <= most, 0.0, 2.0), np.minimum(first, second)))
+        leave = np.minimum(leave, np.where(still, 1.0, np.maximum(first, second)))
+    return enter, leave
+
+
+def footprint_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Area that the footprints of boxes (rows of BOX) share, for all pairs at once.
+
+    The border of the common part is made of pieces of sides: of a's in b and of b's in a. Each piece adds the triangle that
+    it spans with b's centre. Where sides lie on each other, a's count and b's do not.
+    """
+    dx, dy = _turned((a[:, 0] - b[:, 0])[:, None], (a[:, 1] - b[:, 1])[:, None], -b[:, 6])
+    size_a, size_b = a[:, 3:5], b[:, 3:5]
+    bx, by = _CORNERS[:, 0] * size_b[:, :1], _CORNERS[:, 1] * size_b[:, 1:]
+    ax, ay = _turned(_CORNERS[:, 0] * size_a[:, :1], _CORNERS[:, 1] * size_a[:, 1:], a[:, 6] - b[:, 6])
+    area = np.zeros(len(a))
+    near_x, near_y = _turned(bx - dx, by - dy, b[:, 6] - a[:, 6])  # b's corners as a sees them
+    for x, y, (enter, leave) in ((ax + dx, ay + dy, _cut(ax + dx, ay + dy, size_b / 2, TOUCH)), (bx, by, _cut(near_x, near_y, size_a / 2, -TOUCH))):
+        wx, wy = np.roll(x, -1, 1) - x, np.roll(y, -1, 1) - y
+        # both ends lie on the side, so the triangle depends on the piece's length alone
+        area += np.where(leave > enter, (leave - enter) * (x * wy - y * wx), 0).sum(1) / 2
+    return np.maximum(area, 0)
 
 
 def exact_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Overlap over union by cutting one footprint with the other."""
-    z = np.maximum(_z_overlap(a, b), 0)
-    inter = np.array([_clipped_area(_footprint(x), _footprint(y)) if h > 0 else 0.0 for x, y, h in zip(a, b, z)]) * z
+    """Overlap over union by the exact common part of the footprints."""
+    inter = footprint_overlap(a, b) * np.maximum(_z_overlap(a, b), 0)
     return inter / (a[:, 3] * a[:, 4] * a[:, 5] + b[:, 3] * b[:, 4] * b[:, 5] - inter + 1e-8)
 
 
+def enclosed(iou: Column) -> Column:
+    """The overlap of ``a_*`` and ``b_*`` less the share of an upright box around both that neither fills, brought from [-1, 1]
+    to [0, 1], so that boxes that do not meet still differ. The box around holds the circles about both footprints."""
+    c = lambda p, n: F.col(f"{p}_{n}")
+    radius = {p: F.sqrt(c(p, "sx") ** 2 + c(p, "sy") ** 2) / 2 for p in "ab"}
+    reach = lambda p, n: c(p, "sz") / 2 if n == "tz" else radius[p]
+    hull = F.lit(1.0)
+    for n in ("tx", "ty", "tz"):
+        hull = hull * (F.greatest(*[c(p, n) + reach(p, n) for p in "ab"]) - F.least(*[c(p, n) - reach(p, n) for p in "ab"]))
+    union = (c("a", "sx") * c("a", "sy") * c("a", "sz") + c("b", "sx") * c("b", "sy") * c("b", "sz")) / (1 + iou)  # what they share is iou / (1 + iou) of both
+    return (iou - (hull - union) / (hull + 1e-8) + 1) / 2
+
+
 def with_iou(pairs: DataFrame, n: int | None = 8, name: str = "iou") -> DataFrame:
     """Add the overlap of ``a_*`` and ``b_*``: sampled on n x n points, or exact for None. Arrow batches of pairs."""
     names = [p + c for p in ("a_", "b_") for c in BOX]

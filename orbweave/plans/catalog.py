@@ -293,7 +293,20 @@ def j18_cannot_link_edges(spark, sf):
     return spatial.overlap_edges(det3(spark, sf).where("prob >= 0.55"), ["scene_id"], 0.2, extra=F.col("a_frame_id") != F.col("b_frame_id")).select("a", "b")
 
 
-@query()
+#: Areas that footprints share, from the pieces of each one's sides that lie in the other.
+CUT = """, p AS (SELECT a.scene_id, a.det_id AS a, b.det_id AS b, a AS m, b AS n FROM d a JOIN d b ON a.scene_id = b.scene_id AND a.det_id < b.det_id AND pow(a.tx - b.tx, 2) + pow(a.ty - b.ty, 2) <= pow(sqrt(a.sx * a.sx + a.sy * a.sy) / 2 + sqrt(b.sx * b.sx + b.sy * b.sy) / 2, 2)),
+v AS (SELECT scene_id, a, b, m, n, f.k, f.x * q.sx / 2 AS x, f.y * q.sy / 2 AS y, g.x * q.sx / 2 AS x2, g.y * q.sy / 2 AS y2, q, o, own FROM (SELECT *, m AS q, n AS o, 1 AS own FROM p UNION ALL SELECT *, n, m, 0 FROM p),
+ (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) f(k, x, y), (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) g(k, x, y) WHERE g.k = (f.k + 1) % 4),
+w AS (SELECT scene_id, a, b, m, n, o, own, q.tx + cos(q.yaw) * x - sin(q.yaw) * y AS x, q.ty + sin(q.yaw) * x + cos(q.yaw) * y AS y, q.tx + cos(q.yaw) * x2 - sin(q.yaw) * y2 AS x2, q.ty + sin(q.yaw) * x2 + cos(q.yaw) * y2 AS y2 FROM v),
+l AS (SELECT *, cos(o.yaw) * (x - o.tx) + sin(o.yaw) * (y - o.ty) AS lx, cos(o.yaw) * (y - o.ty) - sin(o.yaw) * (x - o.tx) AS ly, cos(o.yaw) * (x2 - x) + sin(o.yaw) * (y2 - y) AS dx, cos(o.yaw) * (y2 - y) - sin(o.yaw) * (x2 - x) AS dy, CASE own WHEN 1 THEN 1e-12 ELSE -1e-12 END AS e FROM w),
+t AS (SELECT *, CASE WHEN abs(dx) < 1e-15 THEN CASE WHEN abs(lx) <= o.sx / 2 + e THEN 0 ELSE 2 END ELSE least((-o.sx / 2 - e - lx) / dx, (o.sx / 2 + e - lx) / dx) END AS t1, CASE WHEN abs(dx) < 1e-15 THEN 1 ELSE greatest((-o.sx / 2 - e - lx) / dx, (o.sx / 2 + e - lx) / dx) END AS t2,
+ CASE WHEN abs(dy) < 1e-15 THEN CASE WHEN abs(ly) <= o.sy / 2 + e THEN 0 ELSE 2 END ELSE least((-o.sy / 2 - e - ly) / dy, (o.sy / 2 + e - ly) / dy) END AS t3, CASE WHEN abs(dy) < 1e-15 THEN 1 ELSE greatest((-o.sy / 2 - e - ly) / dy, (o.sy / 2 + e - ly) / dy) END AS t4 FROM l),
+s AS (SELECT scene_id, a, b, any_value(m) AS m, any_value(n) AS n, greatest(0, sum(greatest(0, least(1, t2, t4) - greatest(0, t1, t3)) * ((x - n.tx) * (y2 - y) - (y - n.ty) * (x2 - x)) / 2)) AS area FROM t GROUP BY 1, 2, 3),
+h AS (SELECT scene_id, a, b, m, n, area * greatest(0, least(m.tz + m.sz / 2, n.tz + n.sz / 2) - greatest(m.tz - m.sz / 2, n.tz - n.sz / 2)) AS inter FROM s),
+i AS (SELECT scene_id, a, b, inter / (m.sx * m.sy * m.sz + n.sx * n.sy * n.sz - inter + 1e-8) AS iou FROM h) """
+
+
+@query(D3 + CUT + "SELECT scene_id, a, b, round(iou, 6) AS iou FROM i WHERE iou >= 0.2")
 def j10_exact_iou(spark, sf):
     return spatial.overlap_edges(det3(spark, sf), ["scene_id"], 0.2, n=None).select("scene_id", "a", "b", r("iou"))
 
@@ -703,3 +716,4 @@ def t6_tracker(spark, sf):
     return out.select("scene_id", "frame_id", "track_id", "state", "label", r("tx"), r("ty"), "support")
 
 
+from . import spaces  # noqa: E402, F401  adds its queries to those above
