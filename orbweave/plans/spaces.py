@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import camera, geometry
-from ..operators import oriented, views
+from ..operators import oriented, tracking, views
 from .catalog import D3, det3, query, r
 
 FISHEYE = (500.0, 400.0, 640.0, 360.0, 0.1, -0.02, 0.003, 0.004, -0.005, 0.0006, 0.01, -0.02, 0.003, -0.001, 0.002, 0.0005)
@@ -105,3 +105,14 @@ def c11_depth_points(spark, sf):
     images = pixels.select("user_id", F.transform("p", lambda x: x["z"]).alias("depth"), F.lit(8).alias("width"), F.floor(F.size("p") / 8).cast("int").alias("height"), *[F.lit(float(v)).alias(n) for n, v in (("fx", 3), ("fy", 3), ("cx", 3.5), ("cy", 3.5))])
     images = images.where("height > 0").withColumn("pose", geometry.pose(lits(1, 0, 0, 0, 0, 1, 0, -1, 0), lits(0, 2, 1)))
     return views.depth_points(images, ["user_id"], wanted=20).groupBy("user_id").agg(F.count("*").alias("points"), *[r(F.sum(c), 4).alias(c) for c in "xyz"])
+
+
+@query()
+def t6_tracker_views(spark, sf):
+    """Tracks where a camera turns away every fifth frame and only what lies about detections was observed."""
+    d = det3(spark, sf).withColumn("frame_id", F.floor(F.col("frame_id") / 8))
+    turn = F.when(F.col("frame_id") % 5 == 4, lits(-1, 0, 0, 0, 0, -1, 0, -1, 0)).otherwise(lits(1, 0, 0, 0, 0, 1, 0, -1, 0))
+    frames = d.select("scene_id", "frame_id").distinct().withColumn("camera", camera.camera(lits(200, 200, 160.3, 119.7), F.lit(320), F.lit(240))).withColumn("pose", geometry.pose(turn, lits(6, -4, 0.5)))
+    points = d.select("scene_id", "frame_id", F.explode(F.array(*[F.struct((F.col("tx") + x).alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z")) for x in (-0.1, 0.1)])).alias("p")).select("scene_id", "frame_id", "p.*")
+    out = tracking.track(d, tracking.TrackerConfig(max_missed=8), frames=frames, points=points)
+    return out.select("scene_id", "frame_id", "track_id", "state", "label", r("tx"), r("ty"), "support", "missed")

@@ -9,22 +9,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracking import _NAMES, FIELDS, Tracker, TrackerConfig, TrackerState, frames_of, track_rows
+from ..operators.tracking import _NAMES, FIELDS, ORDER, Feed, Tracker, TrackerConfig, TrackerState, events, fed
 
 
-def track_stream(detections: DataFrame, config: TrackerConfig | None = None, scene: str = "scene_id") -> DataFrame:
-    """Tracks after each frame, as frames arrive. Frames of a scene must arrive in order, whole frames in one batch."""
-    kind = detections.schema[scene].dataType.simpleString()
+def track_stream(detections: DataFrame, config: TrackerConfig | None = None, scene: str = "scene_id", frames: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    """Tracks after each frame, as frames arrive. Frames of a scene must arrive in order, whole frames in one batch.
+
+    Detections, frames (cameras and poses) and points are three streams, or tables of which a batch has its part; they are
+    one keyed stream of events here, so a scene's tracks see all three.
+    """
+    kind, with_points = detections.schema[scene].dataType.simpleString(), points is not None
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = Tracker(config, TrackerState.unpack(json.loads(state.get[0])) if state.exists else None)
-        rows = pd.concat(list(parts), ignore_index=True)
-        out = []
-        for frame, found in frames_of(rows):
-            out += track_rows(frame, tracker.update(frame, found))
-        state.update((json.dumps(tracker.state.pack()),))
+        feed = Feed(Tracker(config, TrackerState.unpack(json.loads(state.get[0])) if state.exists else None), with_points)
+        rows = pd.concat(list(parts), ignore_index=True).sort_values(list(ORDER), kind="stable")
+        out = [*fed(feed, rows), *feed.close()]
+        state.update((json.dumps(feed.tracker.state.pack()),))
         done = pd.DataFrame(out, columns=_NAMES)
         done.insert(0, scene, key[0])
         yield done
 
-    return detections.groupBy(scene).applyInPandasWithState(run, f"`{scene}` {kind}, {FIELDS}", "state string", "append", GroupStateTimeout.NoTimeout)
+    return events(detections, frames, points, scene).groupBy(scene).applyInPandasWithState(run, f"`{scene}` {kind}, {FIELDS}", "state string", "append", GroupStateTimeout.NoTimeout)
