@@ -189,11 +189,38 @@ def slerp(a: Column, b: Column, alpha: Column) -> Column:
 
 
 def rotation_of_6d(a: Column, b: Column) -> Column:
-    """Rotation whose first two rows come from two vectors, made orthonormal."""
+    """Rotation whose first column is along ``a`` and whose second is along the part of ``b`` that is at right angles to it."""
     x = unit(a)
-    y = unit(reject(b, x))
-    z = cross(x, y)
-    return F.concat(x, y, z)
+    z = unit(cross(x, unit(b)))
+    return transpose(F.concat(x, cross(z, x), z))
+
+
+def stereographic_unprojected(a: Column, n: int, axis: int) -> Column:
+    """The point of the unit sphere in n + 1 dimensions that a point of n dimensions is the projection of, from the pole of an axis."""
+
+    @bound
+    def out(a: Column) -> Column:
+        def placed(s2: Column) -> Column:
+            parts = [2 * a[i] / (s2 + 1) for i in range(n)]
+            return vec(*parts[:axis], (s2 - 1) / (s2 + 1), *parts[axis:])
+
+        return let(dot(a, a, n), placed)
+
+    return out(a)
+
+
+@bound
+def rotation_of_5d(v: Column) -> Column:
+    """Rotation of five numbers: two, and three that stand for four by a stereographic projection, make the six of ``rotation_of_6d``.
+
+    The scales, fixed values, bring the numbers near 1 where the rotation is near none.
+    """
+    scales = (math.sqrt(2) + 1, math.sqrt(2) + 1, math.sqrt(2))
+
+    def filled(u: Column) -> Column:
+        return let(norm(vec(u[1], u[2], u[3])), lambda n: rotation_of_6d(vec(v[0], v[1], u[0] / n), vec(u[1] / n, u[2] / n, u[3] / n)))
+
+    return let(stereographic_unprojected(vec(*[v[2 + i] * s for i, s in enumerate(scales)]), 3, 0), filled)
 
 
 def gravity_aligned(view: Column, gravity: Column) -> Column:
@@ -286,6 +313,13 @@ def pose_between(a: Column, b: Column, alpha: Column) -> Column:
     return let(let(way, lambda g: se3_exp(scaled(g["w"]), scaled(g["u"]))), lambda g: pose_compose(a, g))
 
 
+@bound
+def average_pose(a: Column, b: Column) -> Column:
+    """Half way between two poses: rotations along the shorter arc, places along the line."""
+    turn = let(slerp(quaternion_of_rotation(a["r"]), quaternion_of_rotation(b["r"]), F.lit(0.5)), lambda q: rotation_of_quaternion(q[0], q[1], q[2], q[3]))
+    return pose(turn, F.zip_with(a["t"], b["t"], lambda x, y: (x + y) / 2))
+
+
 # -- angles --------------------------------------------------------------------------------------------------------------
 
 

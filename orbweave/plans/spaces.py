@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import camera, geometry
-from ..operators import oriented, tracking, views
+from ..operators import align, oriented, tracking, views
 from .catalog import D3, det3, query, r
 
 FISHEYE = (500.0, 400.0, 640.0, 360.0, 0.1, -0.02, 0.003, 0.004, -0.005, 0.0006, 0.01, -0.02, 0.003, -0.001, 0.002, 0.0005)
@@ -116,3 +116,45 @@ def t6_tracker_views(spark, sf):
     points = d.select("scene_id", "frame_id", F.explode(F.array(*[F.struct((F.col("tx") + x).alias("x"), F.col("ty").alias("y"), F.col("tz").alias("z")) for x in (-0.1, 0.1)])).alias("p")).select("scene_id", "frame_id", "p.*")
     out = tracking.track(d, tracking.TrackerConfig(max_missed=8), frames=frames, points=points)
     return out.select("scene_id", "frame_id", "track_id", "state", "label", r("tx"), r("ty"), "support", "missed")
+
+
+# -- alignments ----------------------------------------------------------------------------------------------------------
+
+
+@query(D3 + """, m AS (SELECT *, (scene_id % 7) * 0.4E0 - 1.1 AS a, scene_id % 5 * 10.0E0 AS ox FROM d)
+SELECT scene_id, count(*) AS n, round(any_value(cos(a)), 6) + 0.0 AS r0, round(any_value(-sin(a)), 6) + 0.0 AS r1, round(any_value(cos(a)), 6) + 0.0 AS r4, 1.0::DOUBLE AS r8, round(any_value(ox), 5) + 0.0 AS x, -3.0::DOUBLE AS y, 0.5::DOUBLE AS z, 0.0::DOUBLE AS error FROM m GROUP BY 1 HAVING count(*) > 3""")
+def a19_align(spark, sf):
+    """Motions between each scene's points and the same points moved, recovered."""
+    d = det3(spark, sf).selectExpr("*", "(scene_id % 7) * 0.4E0 - 1.1 as a", "scene_id % 5 * 10.0E0 as ox")
+    back = {"qx": "cos(a) * (tx - ox) + sin(a) * (ty + 3)", "qy": "cos(a) * (ty + 3) - sin(a) * (tx - ox)", "qz": "tz - 0.5"}
+    out = align.align_points(d.selectExpr("*", *[f"{e} as {n}" for n, e in back.items()]), ["scene_id"], ("tx", "ty", "tz"), ("qx", "qy", "qz")).where("n > 3")
+    rounded = [r(F.col("rotation")[i]).alias(f"r{i}") for i in (0, 1, 4, 8)]
+    return out.select("scene_id", "n", *rounded, *[r(F.col("translation")[i], 5).alias(n) for i, n in enumerate("xyz")], r("error", 4))
+
+
+@query(D3 + f", t AS (SELECT det_id, tx, ty, tz, sx, sy, sz, {TURN} FROM (SELECT *, {ANGLES} FROM d)) SELECT det_id, round(tx, 6) + 0.0 AS tx, round(ty, 6) + 0.0 AS ty, round(tz, 6) + 0.0 AS tz, round(sx, 6) AS sx, round(sy, 6) AS sy, round(sz, 6) AS sz, round(r0, 6) + 0.0 AS r0, round(r1, 6) + 0.0 AS r1, round(r5, 6) + 0.0 AS r5, round(r7, 6) + 0.0 AS r7 FROM t")
+def g16_box_of_corners(spark, sf):
+    """Boxes of full rotation from their eight corners."""
+    order = (0, 4, 6, 2, 1, 5, 7, 3)  # from x slowest, z fastest, to around the bottom and the top
+    d = turned(spark, sf).select("det_id", geometry.box_corners(F.col("center"), F.col("size"), F.col("rotation")).alias("c")).select("det_id", F.array(*[F.col("c")[i] for i in order]).alias("corners"))
+    d = align.with_box_of_corners(d, "corners")
+    parts = [r(F.col(f"box.{f}")[i]).alias(f"{p}{n}") for f, p in (("center", "t"), ("size", "s")) for i, n in enumerate("xyz")]
+    return d.select("det_id", *parts, *[r(F.col("box.rotation")[i]).alias(f"r{i}") for i in (0, 1, 5, 7)])
+
+
+@query(D3 + ", n AS (SELECT det_id, yaw + det_id % 8 AS y FROM d), k AS (SELECT *, y - round(y / (pi() / 2)) * (pi() / 2) AS left_ FROM n) SELECT det_id, round(cos(left_), 6) + 0.0 AS r0, round(sin(left_), 6) + 0.0 AS r3 FROM k WHERE abs(abs(left_) - pi() / 4) > 1e-6")
+def g11_quarter_turn(spark, sf):
+    """Rotations about z brought by a right angle next to none."""
+    none = F.lit(0.0)
+    d = det3(spark, sf).selectExpr("det_id", "yaw + det_id % 8 as y").selectExpr("*", "y - round(y / (pi() / 2)) * (pi() / 2) as rest").where("abs(abs(rest) - pi() / 4) > 1e-6")
+    d = d.withColumn("q", align.nearest_quarter_turn(geometry.rotation_of_euler(none, none, none), geometry.rotation_of_euler(none, none, F.col("y"))))
+    return d.select("det_id", r(F.col("q.rotation")[0]).alias("r0"), r(F.col("q.rotation")[3]).alias("r3"))
+
+
+@query()
+def a18_component_colours(spark, sf):
+    """Embeddings as three numbers from 0 to 1 along the axes of most variance."""
+    from .catalog import table
+
+    out = align.component_colours(table(spark, sf, "embeddings"), "embedding")
+    return out.select("vec_id", *[r(F.col("colour")[i]).alias(n) for i, n in enumerate(("red", "green", "blue"))])

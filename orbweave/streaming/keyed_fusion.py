@@ -205,6 +205,20 @@ class _Stored(MutableMapping):
 CHANGES = "version long, stable_id long, gone boolean, label string, prob double, support_count long, tx double, ty double, tz double, sx double, sy double, sz double, yaw double, members array<long>"
 
 
+def _taken(scene: SceneFusion, rows: pd.DataFrame, version: int) -> Iterator[tuple]:
+    """Change rows of the parts of a batch, one after the other."""
+    for n, (_, part) in enumerate(rows.groupby("batch", sort=True), version + 1):
+        members = [[int(a), int(b), c, float(p), *map(float, box)] for a, b, c, p, *box in part.sort_values("det_id")[list(MEMBER)].itertuples(index=False)]
+        for name, x in scene.update(members):
+            yield n, name, x is None, *([x[c] for c in ("label", "prob", "support_count", *BOX, "members")] if x else [None] * 11)
+
+
+def _change_table(scene: str, key: Any, changes: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(changes, columns=[c.split()[0] for c in CHANGES.split(", ")])
+    out.insert(0, scene, key)
+    return out
+
+
 class _Processor(StatefulProcessor):
     def __init__(self, config: FusionConfig, scene: str):
         self.config, self.scene = config, scene
@@ -215,30 +229,27 @@ class _Processor(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         next_id, version = self.counters.get() if self.counters.exists() else (0, 0)
-        whole, out = pd.concat(list(rows), ignore_index=True), []
-        scene = SceneFusion(self.config, *self.maps, next_id)
-        for _, part in whole.groupby("batch", sort=True):
-            version += 1
-            members = [[int(a), int(b), c, float(p), *map(float, box)] for a, b, c, p, *box in part.sort_values("det_id")[list(MEMBER)].itertuples(index=False)]
-            for name, x in scene.update(members):
-                values = [x[c] for c in ("label", "prob", "support_count", *BOX, "members")] if x else [None] * 11
-                out.append((key[0], version, name, x is None, *values))
-        self.counters.update((scene.next_id, version))
-        yield pd.DataFrame(out, columns=[self.scene, *[c.split()[0] for c in CHANGES.split(", ")]])
+        scene, whole = SceneFusion(self.config, *self.maps, next_id), pd.concat(list(rows), ignore_index=True)
+        changes = list(_taken(scene, whole, version))
+        self.counters.update((scene.next_id, version + whole["batch"].nunique()))
+        yield _change_table(self.scene, key[0], changes)
 
     def close(self) -> None:
         pass
 
 
 def component_changes(detections: DataFrame, config: FusionConfig | None = None, scene: str = "scene_id", batch: str | None = None) -> DataFrame:
-    """Changes of components as detections arrive (a stream), or as if they did (a table): see CHANGES.
+    """Changes of components as detections arrive (a stream), or as if they did (a table, without a store): see CHANGES.
 
     ``batch``: a column that orders parts of a table, or of a stream's batch, that are taken one after the other. A change
     row replaces all that came before it for its scene and stable id; ``gone`` ones leave nothing.
     """
-    kind = detections.schema[scene].dataType.simpleString()
+    config, kind = config or FusionConfig(), detections.schema[scene].dataType.simpleString()
     rows = detections.select(scene, (F.lit(0) if batch is None else F.col(batch)).cast("long").alias("batch"), *MEMBER)
-    return rows.groupBy(scene).transformWithStateInPandas(_Processor(config or FusionConfig(), scene), f"`{scene}` {kind}, {CHANGES}", "Append", "None")
+    schema = f"`{scene}` {kind}, {CHANGES}"
+    if detections.isStreaming:
+        return rows.groupBy(scene).transformWithStateInPandas(_Processor(config, scene), schema, "Append", "None")
+    return rows.groupBy(scene).applyInPandas(lambda key, part: _change_table(scene, key[0], list(_taken(SceneFusion(config, {}, {}, {}), part, 0))), schema)
 
 
 def published(changes: DataFrame, min_detections: int = 4, scene: str = "scene_id") -> DataFrame:
