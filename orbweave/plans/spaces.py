@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import camera, geometry
+from ..functions import camera, geometry, tables
 from ..operators import align, oriented, tracking, views
-from .catalog import D3, det3, query, r
+from ..sources import scenes
+from .catalog import D3, ORACLE_SQL, T, det3, query, r, table, timed
 
 FISHEYE = (500.0, 400.0, 640.0, 360.0, 0.1, -0.02, 0.003, 0.004, -0.005, 0.0006, 0.01, -0.02, 0.003, -0.001, 0.002, 0.0005)
 #: A rotation for each detection, none about an axis.
@@ -98,8 +99,6 @@ i AS (SELECT user_id, n % 8 AS u, n // 8 AS v, z, greatest(1, floor(sqrt(8 * (c
 SELECT user_id, count(*) AS points, round(sum((u - 3.5) / 3 * z), 4) + 0.0 AS x, round(sum(z + 2), 4) + 0.0 AS y, round(sum(1 - (v - 3.5) / 3 * z), 4) + 0.0 AS z FROM i WHERE z > 0 AND u % step = 0 AND v % step = 0 GROUP BY 1""")
 def c11_depth_points(spark, sf):
     """Points from depth images, eight pixels wide, of one pixel for each event of a user; the few that are known fit what is wanted."""
-    from .catalog import table
-
     z = F.when(F.col("event_id") % 10 == 0, 1 + F.col("value") / 10).otherwise(0.0)
     pixels = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", z.alias("z")))).alias("p"))
     images = pixels.select("user_id", F.transform("p", lambda x: x["z"]).alias("depth"), F.lit(8).alias("width"), F.floor(F.size("p") / 8).cast("int").alias("height"), *[F.lit(float(v)).alias(n) for n, v in (("fx", 3), ("fy", 3), ("cx", 3.5), ("cy", 3.5))])
@@ -154,7 +153,51 @@ def g11_quarter_turn(spark, sf):
 @query()
 def a18_component_colours(spark, sf):
     """Embeddings as three numbers from 0 to 1 along the axes of most variance."""
-    from .catalog import table
-
     out = align.component_colours(table(spark, sf, "embeddings"), "embedding")
     return out.select("vec_id", *[r(F.col("colour")[i]).alias(n) for i, n in enumerate(("red", "green", "blue"))])
+
+
+# -- table functions, scenes, state --------------------------------------------------------------------------------------
+
+
+def _boxes(spark, sf) -> DataFrame:
+    return det3(spark, sf).select("det_id", F.array("tx", "ty", "tz").alias("c"), F.array("sx", "sy", "sz").alias("s"), geometry.rotation_of_euler(F.lit(0.0), F.lit(0.0), F.col("yaw")).alias("r"))
+
+
+def _from_sql(spark, sf, call: str) -> DataFrame:
+    tables.register(spark)
+    out = spark.sql("SELECT b.det_id, p.* FROM {b} b, LATERAL " + call + " p", b=_boxes(spark, sf))
+    return out.select("det_id", F.col("pos").cast("long").alias("pos"), r("x"), r("y"), r("z"))
+
+
+@query(ORACLE_SQL["g18_edges"])
+def u1_edge_points(spark, sf):
+    """The points of ``g18_edges`` by a table function in SQL."""
+    return _from_sql(spark, sf, "edge_points(c, s, r, 3)")
+
+
+@query(ORACLE_SQL["g22_voxel_grid"])
+def u2_voxel_points(spark, sf):
+    """The points of ``g22_voxel_grid`` by a table function in SQL."""
+    return _from_sql(spark, sf, "voxel_points(c, s, r, 2, 3, 2)")
+
+
+@query(T + """, v AS (SELECT event_id, user_id, event_type AS camera, us FROM t WHERE event_type IN ('view', 'click', 'purchase')), a AS (SELECT DISTINCT user_id, us AS m FROM v WHERE camera = 'view'),
+bt AS (SELECT DISTINCT user_id, us FROM v WHERE camera = 'click'), bn AS (SELECT bt.user_id, bt.us, min([abs(a.m - bt.us), a.m]) AS n FROM bt LEFT JOIN a ON a.user_id = bt.user_id GROUP BY 1, 2),
+b AS (SELECT user_id, us, CASE WHEN n[1] < 600000000 THEN n[2] ELSE us END AS m FROM bn), ab AS (SELECT user_id, m FROM a UNION SELECT user_id, m FROM b),
+ct AS (SELECT DISTINCT user_id, us FROM v WHERE camera = 'purchase'), cn AS (SELECT ct.user_id, ct.us, min([abs(ab.m - ct.us), ab.m]) AS n FROM ct LEFT JOIN ab ON ab.user_id = ct.user_id GROUP BY 1, 2),
+c AS (SELECT user_id, us, CASE WHEN n[1] < 600000000 THEN n[2] ELSE us END AS m FROM cn)
+SELECT event_id, us AS moment FROM v WHERE camera = 'view' UNION ALL SELECT event_id, m FROM v JOIN b USING (user_id, us) WHERE camera = 'click' UNION ALL SELECT event_id, m FROM v JOIN c USING (user_id, us) WHERE camera = 'purchase'""")
+def s11_merged_moments(spark, sf):
+    """Times of three cameras brought together: kinds of events of each user, ten minutes apart at most."""
+    views = timed(spark, sf).where("event_type in ('view', 'click', 'purchase')").select("event_id", "user_id", F.col("event_type").alias("camera"), F.col("us").alias("time_ns"))
+    return scenes.merged_moments(views, ["user_id"], 600_000_000, ("view", "click", "purchase")).select("event_id", "moment")
+
+
+@query()
+def t3_keyed_fusion(spark, sf):
+    """Two batches fused with keyed state, cleaned."""
+    from ..streaming.keyed_fusion import component_changes, published
+
+    out = published(component_changes(det3(spark, sf).withColumn("part", (F.col("frame_id") % 50 >= 25).cast("int")), batch="part"))
+    return out.select("scene_id", "stable_id", "support_count", r("tx", 4), r("ty", 4), "label")
