@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import sliced
+
 # Classes that are structure, not objects.
 STRUCTURE = ("floor", "wall", "shelter")
 
@@ -93,15 +95,8 @@ def valid_points(df: DataFrame) -> DataFrame:
 
 
 def subsampled(df: DataFrame, time: str = "time_ns", skip: int = 1, start: int = 0, most: int | None = None) -> DataFrame:
-    """Rows of every ``skip``-th of the distinct times from number ``start`` on, of which at most ``most`` count.
-
-    Distinct times are few against rows, and only they are numbered.
-    """
-    times = df.select(time).distinct().withColumn("_n", F.row_number().over(Window.orderBy(time)) - 1)
-    times = times.where(F.col("_n") >= start)
-    if most is not None:
-        times = times.where(F.col("_n") < start + most)
-    return df.join(times.where((F.col("_n") - start) % skip == 0).select(time), time, "left_semi")
+    """Rows of every ``skip``-th of the distinct times from number ``start`` on, of which at most ``most`` count."""
+    return sliced(df, time, ("start", start), ("most", most), ("every", skip))
 
 
 def thinned(df: DataFrame, least_gap: int, key: str, time: str = "time_ns") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, camera, geometry, text
-from ..operators import asof, filters, fuse, greedy, spatial, tracking
+from ..operators import asof, filters, fuse, greedy, ranks, spatial, tracking
 from ..operators.graph import components
 from ..sources import writers
 from ..staging import stage
@@ -486,9 +486,7 @@ def a15_collect(spark, sf):
 
 @query("SELECT event_id, round(least(1, greatest(0, (value - lo) / (hi - lo + 1e-8))), 6) AS v FROM events, (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM events)")
 def a17_normalise(spark, sf):
-    e = table(spark, sf, "events")
-    lo, hi = e.agg(F.percentile("value", F.lit(0.02)), F.percentile("value", F.lit(0.98))).first()
-    return e.select("event_id", r(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("value") - lo) / (hi - lo + 1e-8)))).alias("v"))
+    return ranks.normalised(table(spark, sf, "events"), "value", "v").select("event_id", r("v"))
 
 
 @query(D3 + "SELECT scene_id, round(avg(tx), 6) AS cx, round(avg(ty), 6) AS cy, round(covar_pop(tx, ty), 6) AS cxy, round(var_pop(tx), 6) AS vxx FROM d GROUP BY 1")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import camera, geometry, tables
-from ..operators import align, oriented, tracking, views
+from ..operators import align, oriented, ranks, timelines, tracking, views
 from ..sources import scenes
-from .catalog import D3, ORACLE_SQL, T, det3, query, r, table, timed
+from .catalog import BOUNDS, D3, ORACLE_SQL, T, det3, of, query, r, table, timed
 
 FISHEYE = (500.0, 400.0, 640.0, 360.0, 0.1, -0.02, 0.003, 0.004, -0.005, 0.0006, 0.01, -0.02, 0.003, -0.001, 0.002, 0.0005)
 #: A rotation for each detection, none about an axis.
@@ -201,3 +201,62 @@ def t3_keyed_fusion(spark, sf):
 
     out = published(component_changes(det3(spark, sf).withColumn("part", (F.col("frame_id") % 50 >= 25).cast("int")), batch="part"))
     return out.select("scene_id", "stable_id", "support_count", r("tx", 4), r("ty", 4), "label")
+
+
+# -- time lines ----------------------------------------------------------------------------------------------------------
+
+
+@query(T + """, u AS (SELECT *, CASE WHEN user_id % 5 = 0 THEN event_id WHEN user_id % 5 = 1 THEN us / 1000000000 ELSE us END AS moment FROM t), g AS (SELECT user_id, moment - lag(moment) OVER (PARTITION BY user_id ORDER BY moment) AS gap FROM u),
+m AS (SELECT user_id, median(gap) FILTER (gap > 0) AS m FROM g GROUP BY 1) SELECT user_id, round(CASE WHEN m >= 1000 AND 1e9 / m <= 240 THEN 1e9 / m ELSE CASE WHEN user_id % 2 = 0 THEN 30 ELSE 10 END END, 6) AS fps FROM m""")
+def a13_frame_rates(spark, sf):
+    """Rates of time lines of which some count frames and some have a mistaken clock."""
+    at = F.when(F.col("user_id") % 5 == 0, F.col("event_id")).when(F.col("user_id") % 5 == 1, F.col("us") / 1000000000).otherwise(F.col("us"))
+    default = F.when(F.col("user_id") % 2 == 0, 30).otherwise(10)
+    return timelines.frame_rates(timed(spark, sf).withColumn("at", at), ["user_id"], "at", default).select("user_id", r("fps"))
+
+
+@query(T + """, f AS (SELECT event_id, user_id, us FROM t WHERE event_type = 'view'), o AS (SELECT user_id, us, event_id % 50 AS uid FROM t WHERE event_type = 'click'),
+w AS (SELECT DISTINCT f.event_id, uid FROM f JOIN o ON o.user_id = f.user_id AND o.us BETWEEN f.us - 3600000000 AND f.us), a AS (SELECT * FROM f WHERE event_id NOT IN (SELECT event_id FROM w)),
+n AS (SELECT a.event_id, a.user_id, min([abs(o.us - a.us), o.us]) AS n FROM a JOIN o ON o.user_id = a.user_id AND abs(o.us - a.us) <= 5400000000 GROUP BY 1, 2)
+SELECT * FROM w UNION ALL SELECT DISTINCT n.event_id, uid FROM n JOIN o ON o.user_id = n.user_id AND o.us = n.n[2]""")
+def w1_observed_lately(spark, sf):
+    """What was observed in the hour before an event, else at the nearest time."""
+    t = timed(spark, sf)
+    seen = of("click", t).select("user_id", "us", (F.col("event_id") % 50).alias("uid"))
+    return timelines.observed_lately(of("view", t), seen, 3_600_000_000, ["user_id"], "event_id", "us", near=5_400_000_000)
+
+
+@query(T + """, p AS (SELECT user_id, us, value AS x, lead(us) OVER (PARTITION BY user_id ORDER BY us) AS e, lead(value) OVER (PARTITION BY user_id ORDER BY us) AS x2 FROM t WHERE event_type = 'click')
+SELECT f.event_id, count(*) AS pieces, min(p.us) AS first, max(p.e) AS last, round(sum(x2 - x), 6) + 0.0 AS moved FROM t f JOIN p ON p.user_id = f.user_id AND p.us BETWEEN f.us - 7200000000 AND f.us WHERE event_type = 'view' AND e IS NOT NULL GROUP BY 1""")
+def w2_path_tails(spark, sf):
+    """The pieces of each user's path that begin in the two hours before an event."""
+    t = timed(spark, sf)
+    path = of("click", t).select("user_id", "us", F.col("value").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    tails = timelines.path_tails(of("view", t), path, 7_200_000_000, "user_id", "event_id", "us")
+    return tails.groupBy("event_id").agg(F.count("*").alias("pieces"), F.min("start").alias("first"), F.max("end").alias("last"), r(F.sum(F.col("to")[0] - F.col("from")[0])).alias("moved"))
+
+
+@query(D3 + ", f AS (SELECT DISTINCT frame_id FROM d), n AS (SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS n FROM f) SELECT det_id, d.frame_id FROM d JOIN n USING (frame_id) WHERE n % 3 = 0 AND n // 3 >= 7 AND n // 3 < 307")
+def w8_slices(spark, sf):
+    """Every third time, from the seventh of these on, three hundred."""
+    return ranks.sliced(det3(spark, sf), "frame_id", ("every", 3), ("start", 7), ("most", 300)).select("det_id", "frame_id")
+
+
+@query(D3 + ", u AS (SELECT DISTINCT scene_id, obj, label FROM d), f AS (SELECT DISTINCT scene_id, frame_id FROM d) SELECT scene_id, frame_id, count(*) AS n, sum(obj)::BIGINT AS objects FROM u JOIN f USING (scene_id) GROUP BY 1, 2")
+def d9_densified(spark, sf):
+    """Each scene's different boxes at every frame of it, counted by frame."""
+    d = det3(spark, sf)
+    out = timelines.densified(d.select("scene_id", "frame_id", "obj", "label"), d, ["scene_id"], "frame_id")
+    return out.groupBy("scene_id", "frame_id").agg(F.count("*").alias("n"), F.sum("obj").alias("objects"))
+
+
+@query(D3 + f", b AS (SELECT scene_id, {BOUNDS} FROM d), e AS (SELECT scene_id, min(min_x) AS ax, max(max_x) AS bx, min(min_y) AS ay, max(max_y) AS by_, min(min_z) AS az, max(max_z) AS bz FROM b GROUP BY 1) SELECT scene_id, round((ax + bx) / 2, 6) + 0.0 AS x, round((ay + by_) / 2, 6) + 0.0 AS y, round((az + bz) / 2, 6) + 0.0 AS z, round(greatest(1.5 * greatest(bx - ax, by_ - ay, bz - az), 3), 6) AS distance FROM e")
+def a12_scene_bounds(spark, sf):
+    """The middle of each scene and from how far away it is seen."""
+    return timelines.scene_bounds(det3(spark, sf), ["scene_id"]).select("scene_id", *[r(c) for c in ("x", "y", "z", "distance")])
+
+
+@query(D3 + "SELECT det_id FROM d WHERE prob >= 0.6 AND (tx + 1) * 2 > 0.1 AND (tx + 1) * 2 < 10")
+def f16_overlay_depths(spark, sf):
+    """Depths that can be shown over an image."""
+    return timelines.overlay_depths(det3(spark, sf).selectExpr("det_id", "(tx + 1) * 2 as depth", "prob >= 0.6 as good"), "depth", "good").select("det_id")
