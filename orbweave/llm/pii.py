@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import fresh, stage
 
 # The base kinds in order. Written so that no attempt backtracks over a long run; they match what the
 # plain patterns (see the tests) match. A local part may start right after the match before it, hence \G.
@@ -230,7 +230,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[{}]") -> DataFrame:
     """``docs`` with personal data in the text replaced by its kind. Needs ids that differ from row to row."""
-    spans = find_personal_data(docs, id_col, text_col).select(F.col("id").alias("_id"), F.array_sort(F.concat("base", "added")).alias("_spans"))
+    own, held = fresh(docs, "id"), fresh(docs, "spans")
+    spans = find_personal_data(docs, id_col, text_col).select(F.col("id").alias(own), F.array_sort(F.concat("base", "added")).alias(held))
     text = F.coalesce(F.col(text_col), F.lit(""))
     head, tail = mark.split("{}")
 
@@ -238,8 +239,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         new = F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit(head), x["kind"], F.lit(tail))
         return F.when(x["start"] < state["at"], state).otherwise(F.struct(x["end"].alias("at"), new.alias("out")))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn(text_col, done).drop("_id", "_spans")
+    done = F.aggregate(held, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return docs.join(spans, F.col(id_col).eqNullSafe(F.col(own))).withColumn(text_col, done).drop(own, held)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, short_batches
+from .common import fresh, shared_dir, short_batches
 
 # The kinds, in order, with pattern, the group whose length counts, and its least length.
 RULES = (
@@ -88,14 +88,14 @@ def scan_documents(docs: DataFrame, ledger: str | None = None, id_col: str = "do
     """
     spark = docs.sparkSession
     short_batches(spark)
-    fresh = ledger is None
+    begun = ledger is not None
     ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     paths = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("blob", F.sha2("_text", 256))
     blobs = paths.select("blob", "_text").dropDuplicates(["blob"])
-    if not fresh:
+    if begun:
         blobs = blobs.join(read_ledger(docs, ledger).select("blob"), "blob", "left_anti")
     blobs.mapInArrow(_scan, f"blob string, {_FINDINGS}").write.mode("append").parquet(ledger)
-    findings = read_ledger(docs, ledger) if not fresh else spark.read.schema(f"blob string, {_FINDINGS}").parquet(ledger)
+    findings = read_ledger(docs, ledger) if begun else spark.read.schema(f"blob string, {_FINDINGS}").parquet(ledger)
     slim = paths.select("_id", "blob")
     hot = slim.groupBy("blob").count().orderBy(F.desc("count"), "blob").limit(256).select("blob")
     far = findings.join(F.broadcast(hot), "blob", "left_semi").select(F.col("blob").alias("_hot"), F.struct("n_assign", "n_access", "n_hex", "base_sha256", "spans").alias("_h"))
@@ -114,8 +114,9 @@ def redact_documents(docs: DataFrame, ledger: str | None = None, id_col: str = "
     follows the text. Texts are joined with findings by blob, and only blobs with findings take part.
     """
     short_batches(docs.sparkSession)
-    found = scan_documents(docs, ledger, id_col, text_col).where("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    met = docs.join(found, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_blob"), "left").drop("_blob")
+    blob, held = fresh(docs, "blob"), fresh(docs, "spans")
+    found = scan_documents(docs, ledger, id_col, text_col).where("spans <> ''").select(F.col("blob").alias(blob), F.col("spans").alias(held)).dropDuplicates([blob])
+    met = docs.join(found, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col(blob), "left").drop(blob)
     at = docs.columns.index(text_col)
     long_at = docs.columns.index(length_col) if length_col in docs.columns else None
 

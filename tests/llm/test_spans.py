@@ -146,3 +146,12 @@ def test_a_long_text_of_dots_and_digits_takes_little_time(spark):
     began = time.time()
     got = pii.candidates(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
     assert len(got[0]["base"]) == 25_000 and time.time() - began < 20  # it took minutes in proportion to the square
+
+
+def test_redaction_where_columns_have_the_names_used_inside(spark):
+    rows = [(1, "mail jane.doe@example.org", "x", "y", "z"), (2, "password = 'Abcdefghij12345'", "x", "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _spans string, _blob string")
+    for redacted in (secret_scan.redact_documents(docs), pii.redact(docs)):
+        out = {r["doc_id"]: r for r in redacted.collect()}
+        assert redacted.columns == docs.columns and all((r["_id"], r["_spans"], r["_blob"]) == ("x", "y", "z") for r in out.values())
+    assert "jane" not in {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}[1] and "Abc" not in {r["doc_id"]: r["text"] for r in secret_scan.redact_documents(docs).collect()}[2]
