@@ -6,11 +6,13 @@ All in DataFrame aggregates that join back to the members; "median" is the lower
 from __future__ import annotations
 
 import math
+import time
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import half_turn_distance
+from ..staging import stage
 from .greedy import clean_instances, cluster
 from .spatial import overlap_edges
 
@@ -72,20 +74,60 @@ def fuse_members(members: DataFrame, weighting: str = "robust", key: str = "clus
     return boxes.join(best, key)
 
 
-def fuse_detections(detections: DataFrame, *, conf: float = 0.55, iou: float = 0.2, same_label: bool = False, min_detections: int = 4, weighting: str = "robust", nms: float | None = 0.4, contained: float = 0.8, cell: float = 4.0) -> DataFrame:
+class FusionStatistics:
+    """How many rows each step of a fusion gave and how long it took, gathered while the steps are written out.
+
+    Counts come from the run itself (``observe``), so nothing is counted twice. One object serves one fusion.
+    """
+
+    STEPS = ("detections", "confident", "links", "clusters", "fused", "supported", "final")
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+        self.seconds: dict[str, float] = {}
+
+    def step(self, name: str, df: DataFrame) -> DataFrame:
+        began, self._seen[name] = time.time(), Observation(name)
+        out = stage(df.observe(self._seen[name], F.count(F.lit(1)).alias("rows")), name)
+        self.seconds[name] = time.time() - began
+        return out
+
+    def rows(self) -> dict[str, int]:
+        return {name: seen.get["rows"] for name, seen in self._seen.items()}
+
+
+def alike(edges: DataFrame, embeddings: DataFrame, least: float, id_col: str = "det_id", vector: str = "embedding") -> DataFrame:
+    """Edges (a, b, ...) whose ends have embeddings with a cosine of at least ``least``.
+
+    Only pairs that are edges already are compared, never all. An end without an embedding, or with a zero one, is like none.
+    """
+    inner = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    known = embeddings.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).withColumn("_n", F.sqrt(inner("_v", "_v")))
+    side = lambda c: known.select(F.col("_id").alias(c), F.col("_v").alias(f"_v{c}"), F.col("_n").alias(f"_n{c}"))
+    met = edges.join(side("a"), "a").join(side("b"), "b").where((F.col("_na") > 0) & (F.col("_nb") > 0))
+    return met.where(inner("_va", "_vb") / (F.col("_na") * F.col("_nb")) >= least).select(*edges.columns)
+
+
+def fuse_detections(detections: DataFrame, *, conf: float = 0.55, iou: float = 0.2, same_label: bool = False, min_detections: int = 4, weighting: str = "robust", nms: float | None = 0.4, contained: float = 0.8, cell: float = 4.0, embeddings: DataFrame | None = None, semantic: float = 0.0, statistics: FusionStatistics | None = None) -> DataFrame:
     """Detections (scene_id, frame_id, det_id, label, prob, box) to fused objects with their members.
 
-    Confident detections of different frames that overlap are linked, clustered without two of one frame, and fused.
+    Confident detections of different frames that overlap are linked, clustered without two of one frame, and fused. With
+    ``embeddings`` (det_id, embedding) only those at least ``semantic`` alike are linked. With ``statistics`` each step is
+    written out and counted.
     """
-    kept = detections.where(F.col("prob") >= conf)
+    step = statistics.step if statistics else lambda name, df: df
+    kept = step("confident", (step("detections", detections) if statistics else detections).where(F.col("prob") >= conf))
     apart = F.col("a_frame_id") != F.col("b_frame_id")
     edges = overlap_edges(kept, ["scene_id"], iou, cell, extra=apart)
     if same_label:
         name = lambda c: kept.select(F.col("det_id").alias(c), F.col("label").alias(f"_{c}"))
         edges = edges.join(name("a"), "a").join(name("b"), "b").where("_a = _b").drop("_a", "_b")
-    found = cluster(kept, edges)
-    fused = fuse_members(kept.join(found, "det_id"), weighting).where(F.col("support_count") >= min_detections)
-    return clean_instances(fused, nms, contained)
+    if embeddings is not None:
+        edges = alike(edges, embeddings, semantic)
+    found = step("clusters", cluster(kept, step("links", edges)))
+    fused = step("fused", fuse_members(kept.join(found, "det_id"), weighting))
+    supported = step("supported", fused.where(F.col("support_count") >= min_detections))
+    return step("final", clean_instances(supported, nms, contained))
 
 
 def precision_recall(pred: DataFrame, target: DataFrame, keys: list[str], iou: float = 0.2, cell: float = 4.0) -> DataFrame:

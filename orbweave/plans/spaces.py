@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import camera, geometry, tables
-from ..operators import align, oriented, ranks, timelines, tracking, views
+from ..operators import align, fuse, oriented, ranks, spatial, timelines, tracking, views
 from ..sources import scenes
-from .catalog import BOUNDS, D3, ORACLE_SQL, T, det3, of, query, r, table, timed
+from .catalog import BOUNDS, D3, GRID, ORACLE_SQL, T, det3, of, query, r, table, timed
 
 FISHEYE = (500.0, 400.0, 640.0, 360.0, 0.1, -0.02, 0.003, 0.004, -0.005, 0.0006, 0.01, -0.02, 0.003, -0.001, 0.002, 0.0005)
 #: A rotation for each detection, none about an axis.
@@ -260,3 +260,22 @@ def a12_scene_bounds(spark, sf):
 def f16_overlay_depths(spark, sf):
     """Depths that can be shown over an image."""
     return timelines.overlay_depths(det3(spark, sf).selectExpr("det_id", "(tx + 1) * 2 as depth", "prob >= 0.6 as good"), "depth", "good").select("det_id")
+
+
+@query(D3 + GRID + """, v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), m AS (SELECT max(vec_id) + 1 AS m FROM v)
+SELECT scene_id, a, b, round(iou, 6) AS iou FROM e, m JOIN v x ON x.vec_id = a % m JOIN v y ON y.vec_id = b % m WHERE iou >= 0.2 AND list_dot_product(x.x, y.x) / sqrt(list_dot_product(x.x, x.x) * list_dot_product(y.x, y.x)) >= 0.1""")
+def j15_alike_edges(spark, sf):
+    """Overlapping detections whose embeddings are alike: compared where boxes overlap, not all with all."""
+    d = det3(spark, sf).where("prob >= 0.55")
+    known = table(spark, sf, "embeddings")
+    count = known.agg((F.max("vec_id") + 1).alias("m"))
+    own = d.select("det_id").join(F.broadcast(count)).select("det_id", (F.col("det_id") % F.col("m")).alias("vec_id")).join(known.select("vec_id", "embedding"), "vec_id")
+    return fuse.alike(spatial.overlap_edges(d, ["scene_id"], 0.2), own, 0.1).select("scene_id", "a", "b", r("iou"))
+
+
+@query()
+def a7_statistics(spark, sf):
+    """How many rows each step of the fusion of the whole table gave."""
+    statistics = fuse.FusionStatistics()
+    fuse.fuse_detections(det3(spark, sf), statistics=statistics)
+    return spark.createDataFrame([(name, n) for name, n in statistics.rows().items()], "step string, rows long")

@@ -132,3 +132,23 @@ def test_batch_tracker(spark):
     last = out[out.frame_id == 5]
     assert len(last) == 4 and (last.state == tracking.ACTIVE).all() and (last.support == 6).all()
     assert isinstance(out, pd.DataFrame)
+
+
+def test_statistics_count_what_the_steps_give(spark):
+    rows = [det(i, 9.0 * (i // 5) + 0.01 * i, prob=0.9 if i % 7 else 0.1) for i in range(40)]
+    statistics = fuse.FusionStatistics()
+    got = fuse.fuse_detections(spark.createDataFrame(rows, SCHEMA), min_detections=5, statistics=statistics)
+    counts = statistics.rows()
+    assert set(counts) == set(fuse.FusionStatistics.STEPS) == set(statistics.seconds)
+    sure = [r for r in rows if r[4] > 0.5]
+    groups = [sum(r[2] // 5 == g for r in sure) for g in range(8)]
+    assert (counts["detections"], counts["confident"], counts["clusters"], counts["fused"]) == (40, len(sure), len(sure), 8)
+    assert counts["links"] == sum(n * (n - 1) // 2 for n in groups) and counts["supported"] == counts["final"] == got.count() == sum(n >= 5 for n in groups)
+
+
+def test_links_of_detections_that_are_alike(spark):
+    df = spark.createDataFrame([det(i, 0.01 * i) for i in range(6)], SCHEMA)
+    vectors = [(0, [1.0, 0.0]), (1, [2.0, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 3.0]), (4, [0.0, 0.0]), (9, [1.0, 1.0])]
+    emb = spark.createDataFrame(vectors, "det_id long, embedding array<double>")
+    got = fuse.fuse_detections(df, min_detections=1, nms=None, contained=0.0, embeddings=emb, semantic=0.9).collect()
+    assert sorted(sorted(r.members) for r in got) == [[0, 1], [2, 3], [4], [5]]  # neither a zero vector nor a missing one is like any
