@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
+from .groups import by_group
 from .spatial import BOX, sampled_iou
 
 
@@ -23,16 +24,15 @@ def _rect_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def suppress_2d(df: DataFrame, threshold: float = 0.5, frame: str = "frame_id", id_col: str = "det_id") -> DataFrame:
     """In each frame keep rectangles by falling score unless one kept overlaps by more; of equal scores the later id first."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", id_col], ascending=[False, False], kind="stable")
-        over = _rect_iou(*[rows[["x1", "y1", "x2", "y2"]].to_numpy(float)] * 2) > threshold
-        kept = np.ones(len(rows), bool)
-        for i in range(len(rows)):
+    def kernel(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        box = np.stack([rows[c].astype(float) for c in ("x1", "y1", "x2", "y2")], 1)
+        over, kept = _rect_iou(box, box) > threshold, np.ones(len(box), bool)
+        for i in range(len(box)):
             if kept[i]:
                 kept[i + 1 :] &= ~over[i, i + 1 :]
-        return rows[kept]
+        return {n: v[kept] for n, v in rows.items()}
 
-    return df.groupBy(frame).applyInPandas(run, df.schema)
+    return by_group(df, frame, [F.desc("score"), F.desc(id_col)], kernel, df.schema)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -107,12 +107,14 @@ def cluster(detections: DataFrame, edges: DataFrame, id_col: str = "det_id", fra
     links = joined.join(weak, joined["a"] == weak["node"]).select("component", F.lit(1).alias("kind"), "a", "b", "iou")
     kinds = dict(members.dtypes)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own, link = rows[rows.kind == 0], rows[rows.kind == 1]
-        found = merge_constrained(own.a.tolist(), dict(zip(own.a, own.b)), list(zip(link.a, link.b, link.iou)))
-        return pd.DataFrame({id_col: list(found), "cluster": list(found.values())})
+    def kernel(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        own = rows["kind"] == 0
+        a, b, link = rows["a"].tolist(), rows["b"].tolist(), np.flatnonzero(~own)
+        nodes = np.flatnonzero(own)
+        found = merge_constrained([a[i] for i in nodes], {a[i]: b[i] for i in nodes}, [(a[i], b[i], rows["iou"][i]) for i in link])
+        return {id_col: np.array(list(found)), "cluster": np.array(list(found.values()))}
 
-    return members.unionByName(links).groupBy("component").applyInPandas(run, f"`{id_col}` {kinds['a']}, cluster {kinds['a']}")
+    return by_group(members.unionByName(links), "component", [F.col("kind")], kernel, f"`{id_col}` {kinds['a']}, cluster {kinds['a']}")
 
 
 # -- suppression of fused instances ----------------------------------------------------------------------------------------
