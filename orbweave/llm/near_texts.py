@@ -62,6 +62,11 @@ def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
     return bits & ((1 << 63) - 1), bits >> 63 & ((1 << 42) - 1)
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """The sorted different shingles; 32 bits tell those of two texts apart."""
+    return np.unique(hashes[:, :4].copy().view(np.int32).reshape(-1))
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):
@@ -69,51 +74,62 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prints(texts: DataFrame, words: int) -> DataFrame:
-    """(row, a, b, same, also): the fingerprint of every row of (row, text), and a digest of its word sequence."""
+    """(row, a, b, n, same, also): the fingerprint of every row of (row, text), how many different shingles it has, and a digest of its word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _bounded(batches):
-            a, b, same = [], [], []
+            a, b, n, same = [], [], [], []
             for text in batch.column(1).to_pylist():
-                one, two = wide_fingerprint(shingle_hashes(text or "", words))
+                hashes = shingle_hashes(text or "", words)
+                one, two = wide_fingerprint(hashes)
                 a.append(one)
                 b.append(two)
+                n.append(len(_distinct(hashes)))
                 same.append(xxhash.xxh3_128_digest(b" ".join(words_of(text or "")), SEED))
             halves = np.frombuffer(b"".join(same), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["row", "a", "b", "same", "also"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["row", "a", "b", "n", "same", "also"])
 
-    return texts.mapInArrow(run, "row long, a long, b long, same long, also long")
+    return texts.mapInArrow(run, "row long, a long, b long, n int, same long, also long")
 
 
 def _keys(prints: DataFrame) -> DataFrame:
-    """(key, row, a, b): a row per fuzzy key of each row's fingerprint."""
+    """(key, row, a, b, n): a row per fuzzy key of each row's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Golay()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                row, a, b = (batch.column(i).slice(at, 1024).to_numpy() for i in range(3))
-                near = [code.keys((bits.view(np.uint64) >> np.uint64(s * SEGMENT_BITS) & _MASK).astype(np.int64)) for bits, n in ((a, 3), (b, 2)) for s in range(n)]
+                row, a, b, n = (batch.column(i).slice(at, 1024).to_numpy() for i in range(4))
+                near = [code.keys((bits.view(np.uint64) >> np.uint64(s * SEGMENT_BITS) & _MASK).astype(np.int64)) for bits, parts in ((a, 3), (b, 2)) for s in range(parts)]
                 for pair, (i, j) in enumerate((i, j) for i in range(SEGMENTS) for j in range(i + 1, SEGMENTS)):
                     keys = np.where((near[i][:, :, None] >= 0) & (near[j][:, None, :] >= 0), pair << 24 | near[i][:, :, None] << 12 | near[j][:, None, :], -1).reshape(len(row), -1)
                     who, column = np.nonzero(keys >= 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[who, column].astype(np.int32)), *(pa.array(x[who]) for x in (row, a, b))], names=["key", "row", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[who, column].astype(np.int32)), *(pa.array(x[who]) for x in (row, a, b, n))], names=["key", "row", "a", "b", "n"])
 
-    return prints.select("row", "a", "b").mapInArrow(run, "key int, row long, a long, b long")
+    return prints.select("row", "a", "b", "n").mapInArrow(run, "key int, row long, a long, b long, n int")
 
 
 def _apart(a: np.ndarray, b: np.ndarray, c: np.ndarray | np.int64, d: np.ndarray | np.int64) -> np.ndarray:
     return np.bitwise_count(a ^ c) + np.bitwise_count(b ^ d)
 
 
-def spanning(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among some rows: each row reached looks once at those not reached yet."""
+def _sized(n: np.ndarray, other: np.ndarray | np.int64, similarity: float) -> np.ndarray:
+    """Whether sets of so many shingles can be similar enough: the smaller must hold that share of the larger."""
+    return np.minimum(n, other) >= similarity * np.maximum(n, other) - 1e-9
+
+
+def spanning(row: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among some rows: each row reached looks once at those not reached yet.
+
+    With the sizes ``n`` of the rows' sets, rows whose sizes rule a similarity out are not linked.
+    """
+    n = np.zeros(len(row), np.int64) if n is None else n
     left, right, open_, queue = [], [], np.arange(len(row)), []
     while len(open_):
         if not queue:
             queue, open_ = [int(open_[0])], open_[1:]
         i = queue.pop()
-        hit = _apart(a[open_], b[open_], a[i], b[i]) <= NEAR
+        hit = (_apart(a[open_], b[open_], a[i], b[i]) <= NEAR) & _sized(n[open_], n[i], similarity)
         if hit.any():
             found = open_[hit]
             left.append(np.full(len(found), row[i]))
@@ -124,8 +140,8 @@ def spanning(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _links(bucket_rows: int):
-    """Links (a, b) inside buckets, of rows that come sorted by key; of a fuller bucket only its key, as ``full``."""
+def _links(bucket_rows: int, similarity: float = 0.0):
+    """Links (a, b) inside buckets, of rows (key, row, a, b and, if known, n) that come sorted by key; of a fuller bucket only its key, as ``full``."""
 
     def links(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.nulls(len(one), pa.int32())], names=["a", "b", "full"])
@@ -134,23 +150,23 @@ def _links(bucket_rows: int):
         none = pa.nulls(len(keys), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, pa.array(keys, pa.int32())], names=["a", "b", "full"])
 
-    def inside(key: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def inside(key: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         ends = np.flatnonzero(np.diff(key, append=-1)) + 1
         starts = np.concatenate([[0], ends[:-1]])
         sizes = ends - starts
         if (sizes > bucket_rows).any():
             yield fulls(key[starts[sizes > bucket_rows]])
         small = np.repeat((sizes > 1) & (sizes <= PAIRED), sizes)
-        k, r, x, y = key[small], row[small], a[small], b[small]
+        k, r, x, y, z = key[small], row[small], a[small], b[small], n[small]
         pairs, step, live = [], 1, np.arange(len(k))
         while len(live):  # each row with the next one, the one after it, and so on, in its bucket
             live = live[live + step < len(k)]
             live = live[k[live] == k[live + step]]
-            hit = live[_apart(x[live], y[live], x[live + step], y[live + step]) <= NEAR]
+            hit = live[(_apart(x[live], y[live], x[live + step], y[live + step]) <= NEAR) & _sized(z[live], z[live + step], similarity)]
             pairs.append((r[hit], r[hit + step]))
             step += 1
         middle = (sizes > PAIRED) & (sizes <= bucket_rows)
-        pairs += [spanning(row[s:e], a[s:e], b[s:e]) for s, e in zip(starts[middle], ends[middle])]
+        pairs += [spanning(row[s:e], a[s:e], b[s:e], n[s:e], similarity) for s, e in zip(starts[middle], ends[middle])]
         one, two = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
         if len(one):
             both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)  # the same two meet in many buckets
@@ -161,6 +177,7 @@ def _links(bucket_rows: int):
         count, passed = 0, -1
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
+            columns += [np.zeros(batch.num_rows, np.int32)] * (5 - len(columns))
             gone = int(np.searchsorted(columns[0], passed, side="right"))  # the rest of a full bucket
             held.append([c[gone:] for c in columns])
             count += batch.num_rows - gone
@@ -180,42 +197,44 @@ def _links(bucket_rows: int):
     return run
 
 
-def _full(keyed: DataFrame, full: DataFrame) -> DataFrame:
+def _full(keyed: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
     """Links inside buckets of more than BUCKET_ROWS rows: each pair of a bucket's blocks is a group of its own."""
     rows = keyed.join(full, "key").withColumn("blocks", F.ceil(F.col("count") / BUCKET_ROWS).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "a", "b")
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "a", "b", "n")
 
     def pair(table: pa.Table) -> pa.Table:
-        one, two = spanning(*(table.column(c).to_numpy() for c in ("row", "a", "b")))
+        one, two = spanning(*(table.column(c).to_numpy() for c in ("row", "a", "b", "n")), similarity)
         return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
 
     return rows.groupBy("key", "low", "high").applyInArrow(pair, "a long, b long")
 
 
-def candidate_links(prints: DataFrame) -> DataFrame:
-    """(a, b): links between rows of (row, a, b) that connect all candidates into their components.
+def candidate_links(prints: DataFrame, similarity: float = 0.0) -> DataFrame:
+    """(a, b): links between rows of (row, a, b, n) that connect all candidates into their components.
+
+    Rows whose numbers of shingles ``n`` rule ``similarity`` out are no candidates; without ``n`` none are ruled out.
 
     Keys go through one shuffle and are not written; only where a bucket is full are they made again, for those buckets.
     """
-    keyed = _keys(prints)
-    found = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(BUCKET_ROWS), "a long, b long, full int"), "near_links")
+    keyed = _keys(prints if "n" in prints.columns else prints.withColumn("n", F.lit(0)))
+    found = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(BUCKET_ROWS, similarity), "a long, b long, full int"), "near_links")
     full = found.where("full is not null").select(F.col("full").alias("key")).distinct()
     links = found.where("full is null").select("a", "b")
     if full.limit(1).count():
         inside = stage(keyed.join(full, "key", "left_semi"), "near_full")
-        links = links.unionByName(stage(_full(inside, inside.groupBy("key").count()), "near_links"))
+        links = links.unionByName(stage(_full(inside, inside.groupBy("key").count(), similarity), "near_links"))
         unstage(inside)
     return links
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(row, shingles): the sorted distinct hashes of every row of (row, text); 32 bits tell the shingles of two texts apart."""
+    """(row, shingles): the sorted distinct hashes of every row of (row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _bounded(batches):
-            sets = [np.unique(shingle_hashes(t or "", words)[:, :4].copy().view(np.int32).reshape(-1)) for t in batch.column(1).to_pylist()]
+            sets = [_distinct(shingle_hashes(t or "", words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["row", "shingles"])
 
     return texts.mapInArrow(run, "row long, shingles array<int>")
@@ -243,10 +262,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = numbered.select(F.col(mark).alias("row"), F.col(text_col).alias("text"))
     ids = numbered.select(F.col(mark).alias("row"), F.col(id_col).alias("id"))
     prints = stage(_prints(texts, words), "near_prints")
-    order = F.min(F.struct(F.col("id").isNull(), "id", "row", "a", "b")).alias("x")
-    leaders = stage(prints.join(ids, "row").groupBy("same", "also").agg(order).select("x.row", "x.id", "x.a", "x.b"), "leaders")
+    order = F.min(F.struct(F.col("id").isNull(), "id", "row", "a", "b", "n")).alias("x")
+    leaders = stage(prints.join(ids, "row").groupBy("same", "also").agg(order).select("x.row", "x.id", "x.a", "x.b", "x.n"), "leaders")
     unstage(prints)
-    pairs = stage(candidate_links(leaders).distinct(), "pairs")
+    pairs = stage(candidate_links(leaders, similarity).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
     sets = stage(_shingle_sets(texts.join(ends, "row", "left_semi"), words), "shingles")
     linked = components(stage(verified(pairs, sets, similarity), "verified"))

@@ -108,3 +108,14 @@ def test_a_bucket_longer_than_what_a_task_holds_is_full_once():
     out = pa.Table.from_batches(list(near_texts._links(4096)(iter(parts)))).to_pylist()
     assert [r["full"] for r in out if r["full"] is not None] == [5]
     assert {(r["a"], r["b"]) for r in out if r["full"] is None} == {(i, j) for i, j in zip(row, row[1:]) if key[i] == key[j] != 5}
+
+
+def test_sizes_rule_out_only_what_cannot_be_similar():
+    draw = np.random.default_rng(4)
+    n = draw.integers(0, 60, 400)
+    for i, j in zip(n[:200].tolist(), n[200:].tolist()):
+        most = min(i, j) / max(i, j) if max(i, j) else 1.0  # the similarity of a set and one that holds it
+        assert bool(near_texts._sized(np.int64(i), np.int64(j), 0.8)) == (most >= 0.8)
+    row, same = np.arange(5), np.zeros(5, np.int64)
+    one, two = near_texts.spanning(row, same, same, np.array([100, 80, 79, 64, 10]), 0.8)
+    assert {(min(a, b), max(a, b)) for a, b in zip(one.tolist(), two.tolist())} == {(0, 1), (1, 2), (1, 3)}
