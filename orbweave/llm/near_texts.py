@@ -7,11 +7,13 @@ fingerprints differ in at most ``NEAR`` bits (3.3 standard deviations beyond wha
 at exactly 0.8 about 95 % become candidates, of those at 0.9 over 99 %.
 
 Candidates are verified on the shingles themselves, and verified links make the groups, of which the row of the smallest
-id stays: a row is never dropped for fingerprints alone. Equal word sequences are collapsed first. A bucket of up to
-``PAIRED`` rows gives all its candidate pairs, a fuller one a spanning forest of them, never all pairs; a very full one
-is cut into blocks whose pairs are dealt to different tasks. So in a bucket of over ``PAIRED`` rows a row is verified
-against the rows its forest links it to, and a link that only another pair of that bucket would show is found if the two
-share a smaller bucket.
+id stays: a row is never dropped for fingerprints alone. Equal word sequences are collapsed first. Every bucket gives a
+forest of its candidates, never all pairs; a very full one is cut into blocks whose pairs are dealt to different tasks.
+The forest's links are verified first. A tree of it whose rows verified links then connect needs no more. The rows of all
+other trees are compared by their rarest shingles: of two sets that are similar enough each must hold one of the other's
+rarest fifth, at a place that leaves room for the overlap. That loses none of a tree's links, however full its bucket is,
+and leaves few pairs where texts share much (a site's frame, say) but not enough. Only pairs that are not connected yet
+are compared, so a large group of true copies costs what its forest costs.
 
 Nulls count as empty texts; texts without words are equal to one another; a text of fewer words than a shingle has is one
 shingle. Very long texts are hashed whole. Rows may repeat; columns of any name pass through; an empty table stays empty.
@@ -36,10 +38,12 @@ from .simhash import words_of
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Segments and their width, the bits that a candidate may differ in.
 SEGMENTS, SEGMENT_BITS, NEAR = 5, 21, 28
-#: Rows of a bucket that give all their pairs, and that one task compares with one another.
+#: Rows of a bucket that are compared by columns of pairs, and that one task compares with one another at most.
 PAIRED, BUCKET_ROWS = 128, 4096
 #: Shingles of a set that may be broadcast to the many pairs of its row.
 HOT_SHINGLES = 16_384
+#: Counters that tell rare shingles from frequent ones; two that share one cost time, not links.
+COUNTERS = 1 << 20
 _MASK = np.uint64((1 << SEGMENT_BITS) - 1)
 
 
@@ -118,37 +122,58 @@ def _sized(n: np.ndarray, other: np.ndarray | np.int64, similarity: float) -> np
     return np.minimum(n, other) >= similarity * np.maximum(n, other) - 1e-9
 
 
-def spanning(row: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among some rows: each row reached looks once at those not reached yet.
-
-    With the sizes ``n`` of the rows' sets, rows whose sizes rule a similarity out are not linked.
-    """
-    n = np.zeros(len(row), np.int64) if n is None else n
-    left, right, open_, queue = [], [], np.arange(len(row)), []
+def _forest(row: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links among some rows, with each link's root: a row reached looks once at those not reached yet."""
+    left, right, roots, open_, queue, root = [], [], [], np.arange(len(row)), [], 0
     while len(open_):
         if not queue:
-            queue, open_ = [int(open_[0])], open_[1:]
+            queue, root, open_ = [int(open_[0])], int(open_[0]), open_[1:]
         i = queue.pop()
         hit = (_apart(a[open_], b[open_], a[i], b[i]) <= NEAR) & _sized(n[open_], n[i], similarity)
         if hit.any():
             found = open_[hit]
             left.append(np.full(len(found), row[i]))
             right.append(row[found])
+            roots.append(np.full(len(found), row[root]))
             queue += found.tolist()
             open_ = open_[~hit]
     none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    return (np.concatenate(left), np.concatenate(right), np.concatenate(roots)) if left else (none, none, none)
+
+
+def spanning(row: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among some rows.
+
+    With the sizes ``n`` of the rows' sets, rows whose sizes rule a similarity out are not linked.
+    """
+    return _forest(row, a, b, np.zeros(len(row), np.int64) if n is None else n, similarity)[:2]
+
+
+def _least_linked(count: int, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(partner, place, root) for every place but the first of each tree, of links from lower to higher places."""
+    root, before = np.arange(count), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        np.minimum.at(root, two, root[one])
+        np.minimum.at(root, one, root[two])
+        root = root[root]
+    below, above = np.full(count, count), np.full(count, count)
+    np.minimum.at(below, two, one)
+    np.minimum.at(above, one, two)
+    place = np.flatnonzero(root != np.arange(count))
+    return np.where(below[place] < count, below[place], above[place]), place, root[place]
 
 
 def _links(bucket_rows: int, similarity: float = 0.0):
-    """Links (a, b) inside buckets, of rows (key, row, a, b and, if known, n) that come sorted by key; of a fuller bucket only its key, as ``full``."""
+    """Links (a, b) of trees (key, root) inside buckets, of rows (key, row, a, b and, if known, n) that come sorted by key; of a fuller bucket only its key, as ``full``."""
+    names = ["a", "b", "root", "key", "full"]
 
-    def links(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.nulls(len(one), pa.int32())], names=["a", "b", "full"])
+    def links(one: np.ndarray, two: np.ndarray, root: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(root), pa.array(key.astype(np.int32)), pa.nulls(len(one), pa.int32())], names=names)
 
     def fulls(keys: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(keys), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(keys, pa.int32())], names=["a", "b", "full"])
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(keys), pa.int32()), pa.array(keys, pa.int32())], names=names)
 
     def inside(key: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         ends = np.flatnonzero(np.diff(key, append=-1)) + 1
@@ -158,19 +183,20 @@ def _links(bucket_rows: int, similarity: float = 0.0):
             yield fulls(key[starts[sizes > bucket_rows]])
         small = np.repeat((sizes > 1) & (sizes <= PAIRED), sizes)
         k, r, x, y, z = key[small], row[small], a[small], b[small], n[small]
-        pairs, step, live = [], 1, np.arange(len(k))
+        hits, step, live = [], 1, np.arange(len(k))
         while len(live):  # each row with the next one, the one after it, and so on, in its bucket
             live = live[live + step < len(k)]
             live = live[k[live] == k[live + step]]
             hit = live[(_apart(x[live], y[live], x[live + step], y[live + step]) <= NEAR) & _sized(z[live], z[live + step], similarity)]
-            pairs.append((r[hit], r[hit + step]))
+            hits.append(np.stack([hit, hit + step]))
             step += 1
+        if hits:
+            partner, place, root = _least_linked(len(k), *np.concatenate(hits, axis=1))
+            yield links(r[partner], r[place], r[root], k[place])
         middle = (sizes > PAIRED) & (sizes <= bucket_rows)
-        pairs += [spanning(row[s:e], a[s:e], b[s:e], n[s:e], similarity) for s, e in zip(starts[middle], ends[middle])]
-        one, two = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
-        if len(one):
-            both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)  # the same two meet in many buckets
-            yield links(both[:, 0], both[:, 1])
+        for s, e in zip(starts[middle], ends[middle]):
+            one, two, root = _forest(row[s:e], a[s:e], b[s:e], n[s:e], similarity)
+            yield links(one, two, root, np.full(len(one), key[s]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -205,23 +231,27 @@ def _full(keyed: DataFrame, full: DataFrame, similarity: float) -> DataFrame:
     rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "row", "a", "b", "n")
 
     def pair(table: pa.Table) -> pa.Table:
-        one, two = spanning(*(table.column(c).to_numpy() for c in ("row", "a", "b", "n")), similarity)
-        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64())})
+        table = table.sort_by("row")
+        one, two, root = _forest(*(table.column(c).to_numpy() for c in ("row", "a", "b", "n")), similarity)
+        key = np.full(len(one), table.column("key")[0].as_py() if len(one) else 0, np.int32)
+        return pa.table({"a": pa.array(one, pa.int64()), "b": pa.array(two, pa.int64()), "root": pa.array(root, pa.int64()), "key": pa.array(key)})
 
-    return rows.groupBy("key", "low", "high").applyInArrow(pair, "a long, b long")
+    return rows.groupBy("key", "low", "high").applyInArrow(pair, "a long, b long, root long, key int")
 
 
 def candidate_links(prints: DataFrame, similarity: float = 0.0) -> DataFrame:
-    """(a, b): links between rows of (row, a, b, n) that connect all candidates into their components.
+    """(a, b, root, key): links between rows of (row, a, b, n) by trees, whose rows are all that candidates of a bucket connect.
+
+    A tree's rows are its root and the ``b`` of its links.
 
     Rows whose numbers of shingles ``n`` rule ``similarity`` out are no candidates; without ``n`` none are ruled out.
 
     Keys go through one shuffle and are not written; only where a bucket is full are they made again, for those buckets.
     """
     keyed = _keys(prints if "n" in prints.columns else prints.withColumn("n", F.lit(0)))
-    found = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(BUCKET_ROWS, similarity), "a long, b long, full int"), "near_links")
+    found = stage(keyed.repartition("key").sortWithinPartitions("key", "row").mapInArrow(_links(BUCKET_ROWS, similarity), "a long, b long, root long, key int, full int"), "near_links")
     full = found.where("full is not null").select(F.col("full").alias("key")).distinct()
-    links = found.where("full is null").select("a", "b")
+    links = found.where("full is null").drop("full")
     if full.limit(1).count():
         inside = stage(keyed.join(full, "key", "left_semi"), "near_full")
         links = links.unionByName(stage(_full(inside, inside.groupBy("key").count(), similarity), "near_links"))
@@ -255,6 +285,144 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.when(union > 0, shared >= similarity * union - 1e-9).otherwise(True)).select("a", "b")
 
 
+def _unsettled(links: DataFrame, linked: DataFrame) -> DataFrame:
+    """(row, component): the rows of the trees that verified links do not connect."""
+    rows = links.select("key", "root", F.col("b").alias("row")).unionByName(links.select("key", "root", F.col("root").alias("row")).distinct())
+    rows = rows.join(linked, F.col("row") == F.col("node"), "left").select("key", "root", "row", F.coalesce("component", "row").alias("component"))
+    open_ = rows.groupBy("key", "root").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    return rows.join(open_.select("key", "root"), ["key", "root"], "left_semi").select("row", "component").distinct()
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each counter: COUNTERS numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["counter", "n"])
+
+    sums = sets.select("shingles").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[sums.column("counter").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def _rarest(shingles: np.ndarray, frequencies: np.ndarray, similarity: float) -> np.ndarray:
+    """As many of a set's rarest shingles, rarest first, as must hold one of any set that is similar enough."""
+    ordered = shingles[np.lexsort((shingles, frequencies[shingles & (COUNTERS - 1)]))]
+    return ordered[: len(ordered) - int(np.ceil(similarity * len(ordered) - 1e-9)) + 1]
+
+
+def _rare_rows(sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, place, row, component, n): the rarest shingles of every row of (row, component, shingles), with their places."""
+    frequencies = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _bounded(batches):
+            flat, size = batch.column(2).flatten().to_numpy(), np.diff(batch.column(2).offsets.to_numpy())
+            ends = np.cumsum(size)
+            rare = [_rarest(flat[e - n : e], frequencies.value, similarity) for e, n in zip(ends, size)]
+            counts = np.array([len(x) for x in rare], np.int64)
+            out = [np.concatenate([np.zeros(0, np.int32), *rare]), np.concatenate([np.zeros(0, np.int32), *(np.arange(c, dtype=np.int32) for c in counts)])]
+            out += [np.repeat(batch.column(i).to_numpy(), counts) for i in (0, 1)] + [np.repeat(size.astype(np.int32), counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["shingle", "place", "row", "component", "n"])
+
+    return sets.select("row", "component", "shingles").mapInArrow(run, "shingle int, place int, row long, component long, n int")
+
+
+def _rare_pairs(similarity: float):
+    """Pairs (a, b) that may be similar enough, of rows (shingle, low, high, place, row, component, n) sorted by the first three."""
+
+    def may(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        place, _, component, n = rows
+        room = np.minimum(n[i] - place[i], n[j] - place[j])  # this shingle and all after it
+        needed = np.ceil(similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - 1e-9)
+        return (component[i] != component[j]) & _sized(n[i], n[j], similarity) & (room >= needed)
+
+    def inside(group: np.ndarray, rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        sizes = np.diff(starts, append=len(group))
+        live, step, found = np.flatnonzero(np.repeat(sizes <= PAIRED, sizes)), 1, []
+        while len(live):
+            live = live[live + step < len(group)]
+            live = live[group[live] == group[live + step]]
+            hit = live[may(rows, live, live + step)]
+            found.append((rows[1][hit], rows[1][hit + step]))
+            step += 1
+        for s, size in zip(starts[sizes > PAIRED], sizes[sizes > PAIRED]):
+            for i in range(s, s + size - 1):
+                rest = np.arange(i + 1, s + size)
+                hit = rest[may(rows, np.full(len(rest), i), rest)]
+                found.append((np.full(len(hit), rows[1][i]), rows[1][hit]))
+        one, two = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+        both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            if sum(len(h[0]) for h in held) >= 1 << 18:
+                *whole, rest = _cut([np.concatenate(c) for c in zip(*held)])
+                if len(whole[0]):
+                    yield from inside(whole[0], whole[1])
+                held = [rest]
+        if held:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            yield from inside(_groups(columns), columns[3:])
+
+    return run
+
+
+def _groups(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each run of rows that agree in the first three columns."""
+    return np.cumsum(np.logical_or.reduce([np.diff(c, prepend=c[:1]) != 0 for c in columns[:3]]))
+
+
+def _cut(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The groups but for the last one, their rows, and the last group's rows with all columns."""
+    group = _groups(columns)
+    whole = int(np.searchsorted(group, group[-1]))
+    return group[:whole], [c[:whole] for c in columns[3:]], [c[whole:] for c in columns]
+
+
+def rare_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of rows (row, component, shingles), all pairs of different components that may be similar enough.
+
+    Two similar sets meet at the first shingle they share in the order of frequency: both hold it among their rarest, and
+    what follows it in either set must suffice for their overlap. Shingles of one component only are left out before any
+    pair is made; the rows of a frequent one are cut into blocks, whose pairs are groups of their own.
+    """
+    rare = stage(_rare_rows(sets, similarity), "rare")
+    met = rare.groupBy("shingle").agg(F.count("*").alias("count"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    rows = rare.join(met.select("shingle", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("blocks")), "shingle")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "place", "row", "component", "n")
+    pairs = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(_rare_pairs(similarity), "a long, b long")
+    out = stage(pairs.distinct(), "rare_pairs")
+    unstage(rare)
+    return out
+
+
+def near_components(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, component): rows that links connect whose similarity is verified, of the trees of ``links`` and the sets of their rows."""
+    pairs = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    first = stage(verified(pairs, sets, similarity), "verified")
+    linked = stage(components(first), "linked")
+    open_ = stage(_unsettled(links, linked), "unsettled")
+    if open_.limit(1).count():
+        more = rare_links(sets.join(open_, "row").select("row", "component", "shingles"), similarity)
+        again = linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(more, sets, similarity))
+        linked = stage(components(again), "linked")
+        unstage(more)
+    for done in (pairs, first, open_):
+        unstage(done)
+    return linked
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each group that verified links connect, that of the smallest id."""
     mark = fresh(docs, "row")
@@ -265,14 +433,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = F.min(F.struct(F.col("id").isNull(), "id", "row", "a", "b", "n")).alias("x")
     leaders = stage(prints.join(ids, "row").groupBy("same", "also").agg(order).select("x.row", "x.id", "x.a", "x.b", "x.n"), "leaders")
     unstage(prints)
-    pairs = stage(candidate_links(leaders, similarity).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    links = candidate_links(leaders, similarity)
+    ends = links.select(F.col("b").alias("row")).unionByName(links.select(F.col("root").alias("row"))).distinct()
     sets = stage(_shingle_sets(texts.join(ends, "row", "left_semi"), words), "shingles")
-    linked = components(stage(verified(pairs, sets, similarity), "verified"))
+    linked = near_components(links, sets, similarity)
     members = leaders.join(linked, leaders["row"] == linked["node"]).select("row", "id", "component")
     first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("first"))
     inner = linked.join(first.select(F.col("first").alias("node")), "node", "left_anti").select(F.col("node").alias("row"))
     kept = stage(leaders.select(F.col("row").alias(f"{mark}_kept")).join(inner, F.col(f"{mark}_kept") == F.col("row"), "left_anti"), "kept")
-    unstage(pairs)
     unstage(sets)
     return numbered.join(kept, F.col(mark) == F.col(f"{mark}_kept"), "left_semi").drop(mark)

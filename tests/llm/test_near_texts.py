@@ -119,3 +119,56 @@ def test_sizes_rule_out_only_what_cannot_be_similar():
     row, same = np.arange(5), np.zeros(5, np.int64)
     one, two = near_texts.spanning(row, same, same, np.array([100, 80, 79, 64, 10]), 0.8)
     assert {(min(a, b), max(a, b)) for a, b in zip(one.tolist(), two.tolist())} == {(0, 1), (1, 2), (1, 3)}
+
+
+def frames(families, seed=7):
+    """Two pages for each family, all of one site: 0.9 or so alike in a family, 0.6 across."""
+    rng = random.Random(seed)
+    frame = words(rng, 240)
+    rows = []
+    for k in range(families):
+        own = words(rng, 75)
+        rows.append((2 * k, " ".join(frame[:120] + own + frame[120:])))
+        own[rng.randrange(10, 60)] = "other"
+        rows.append((2 * k + 1, " ".join(frame[:120] + own + ["more", "of", "it"] * rng.randrange(2) + frame[120:])))
+    return rows
+
+
+@pytest.mark.parametrize("families, paired, bucket_rows", [(300, 128, 4096), (300, 8, 64)])
+def test_no_link_is_lost_where_all_texts_share_a_frame(spark, monkeypatch, families, paired, bucket_rows):
+    monkeypatch.setattr(near_texts, "PAIRED", paired)
+    monkeypatch.setattr(near_texts, "BUCKET_ROWS", bucket_rows)
+    rows = frames(families)
+    got = near_texts.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(r["doc_id"] for r in got) == [2 * k for k in range(families)]
+
+
+def test_rare_shingles_meet_for_all_pairs_that_are_similar(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(near_texts, "PAIRED", 4)
+    draw = np.random.default_rng(11)
+    bases = [draw.choice(4000, 60, replace=False) for _ in range(8)]
+    sets = [np.unique(np.where(draw.random(60) < draw.random() * 0.2, draw.integers(0, 4000, 60), bases[i % 8])).astype(np.int32) for i in range(200)]
+    table = spark.createDataFrame([(i, i // 2, s.tolist()) for i, s in enumerate(sets)], "row long, component long, shingles array<int>").repartition(3)
+    found = {(r["a"], r["b"]) for r in near_texts.rare_links(table, 0.8).collect()}
+    alike = {(i, j) for j in range(200) for i in range(j) if i // 2 != j // 2 and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert len(alike) > 100 and alike <= found and all(i // 2 != j // 2 for i, j in found)
+    kept = near_texts.verified(spark.createDataFrame(sorted(found), "a long, b long"), table.select("row", "shingles"), 0.8)
+    assert {(r["a"], r["b"]) for r in kept.collect()} == alike
+
+
+def test_trees_hold_all_that_candidates_connect_in_a_bucket():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 62, 40)[rng.integers(0, 40, 90)] ^ (1 << rng.integers(0, 62, 90))
+    key, row, b = np.sort(rng.integers(0, 9, 90)).astype(np.int32), np.arange(90), np.zeros(90, np.int64)
+    parts = [pa.RecordBatch.from_arrays([pa.array(x) for x in (key, row, a, b)], names=["key", "row", "a", "b"])]
+    trees: dict = {}
+    for r in pa.Table.from_batches(list(near_texts._links(4096)(iter(parts)))).to_pylist():
+        trees.setdefault((r["key"], r["root"]), {r["root"]}).add(r["b"])
+        assert key[r["a"]] == key[r["b"]] == r["key"]
+    links = [(i, j) for i in range(90) for j in range(i) if key[i] == key[j] and (int(a[i]) ^ int(a[j])).bit_count() <= near_texts.NEAR]
+    least = samples.least_reachable(range(90), links)
+    want: dict = {}
+    for i in range(90):
+        want.setdefault(least[i], set()).add(i)
+    assert sorted(map(sorted, trees.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
