@@ -44,6 +44,8 @@ PAIRED, BUCKET_ROWS = 128, 4096
 HOT_SHINGLES = 16_384
 #: Counters that tell rare shingles from frequent ones; two that share one cost time, not links.
 COUNTERS = 1 << 20
+#: Bits of the filter that tells most rows without looking that they are not in a list, in words of 64.
+FILTER_BITS = 1 << 24
 _MASK = np.uint64((1 << SEGMENT_BITS) - 1)
 
 
@@ -423,6 +425,19 @@ def near_components(links: DataFrame, sets: DataFrame, similarity: float) -> Dat
     return linked
 
 
+def _perhaps(table: DataFrame, row: str, listed: DataFrame, mark: str) -> DataFrame:
+    """``table`` with the boolean ``mark``: false where the number in ``row`` is certainly not in ``listed`` (row).
+
+    What is broadcast are the filter's words, FILTER_BITS / 64 rows at most; texts of unmarked rows need no shuffle.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    word = lambda c: F.shiftright(bit(c), 6)
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (bit(c) % 64).cast("int"))
+    words = listed.select(word("row").alias(f"{mark}_word"), one("row").alias("bit")).groupBy(f"{mark}_word").agg(F.bit_or("bit").alias(f"{mark}_bits"))
+    met = table.join(F.broadcast(words), word(row) == F.col(f"{mark}_word"), "left")
+    return met.withColumn(mark, F.coalesce(F.col(f"{mark}_bits").bitwiseAND(one(row)) != 0, F.lit(False))).drop(f"{mark}_word", f"{mark}_bits")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each group that verified links connect, that of the smallest id."""
     mark = fresh(docs, "row")
@@ -432,14 +447,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = stage(_prints(texts, words), "near_prints")
     order = F.min(F.struct(F.col("id").isNull(), "id", "row", "a", "b", "n")).alias("x")
     leaders = stage(prints.join(ids, "row").groupBy("same", "also").agg(order).select("x.row", "x.id", "x.a", "x.b", "x.n"), "leaders")
-    unstage(prints)
     links = candidate_links(leaders, similarity)
     ends = links.select(F.col("b").alias("row")).unionByName(links.select(F.col("root").alias("row"))).distinct()
-    sets = stage(_shingle_sets(texts.join(ends, "row", "left_semi"), words), "shingles")
+    ends = stage(ends, "ends")
+    near = _perhaps(texts, "row", ends, "perhaps").where("perhaps").drop("perhaps")
+    sets = stage(_shingle_sets(near.join(ends, "row", "left_semi"), words), "shingles")
     linked = near_components(links, sets, similarity)
     members = leaders.join(linked, leaders["row"] == linked["node"]).select("row", "id", "component")
     first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("first"))
     inner = linked.join(first.select(F.col("first").alias("node")), "node", "left_anti").select(F.col("node").alias("row"))
-    kept = stage(leaders.select(F.col("row").alias(f"{mark}_kept")).join(inner, F.col(f"{mark}_kept") == F.col("row"), "left_anti"), "kept")
-    unstage(sets)
-    return numbered.join(kept, F.col(mark) == F.col(f"{mark}_kept"), "left_semi").drop(mark)
+    kept = leaders.select("row").join(inner, "row", "left_anti")
+    gone = stage(prints.select("row").join(kept, "row", "left_anti"), "gone")
+    for done in (prints, leaders, ends, sets, linked):
+        unstage(done)
+    seen = _perhaps(numbered, mark, gone, f"{mark}_perhaps")
+    looked = seen.where(f"`{mark}_perhaps`").join(gone.withColumnRenamed("row", f"{mark}_gone"), F.col(mark) == F.col(f"{mark}_gone"), "left_anti")
+    return seen.where(f"not `{mark}_perhaps`").unionByName(looked).drop(mark, f"{mark}_perhaps")
