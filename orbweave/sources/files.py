@@ -92,6 +92,29 @@ def read_points(spark: SparkSession, points: str, observations: str, max_std: fl
     return p, o.join(p.select("uid"), "uid", "left_semi")
 
 
+# Cameras of serial numbers where there is no calibration, and the labels of the two that see points.
+SERIALS = {"16": "camera-slam-left", "17": "camera-slam-right", "18": "camera-rgb"}
+POINT_CAMERAS = {"camera-slam-left": "slaml", "0": "slaml", "slam-front-left": "slaml", "camera-slam-right": "slamr", "1": "slamr", "slam-front-right": "slamr"}
+
+
+def points_by_camera(observations: DataFrame, calibrations: DataFrame | None = None) -> DataFrame:
+    """(time_ns, camera, uids): the points that the left and the right camera see at each time, each list sorted.
+
+    The camera of a serial number is that of the calibrations' labels (the least one, if a serial number has several);
+    without calibrations that of the numbers in SERIALS. Observations of other cameras and of unknown ones are left out.
+    A point seen twice at a time is listed twice; without observations the result is empty.
+    """
+    spark = observations.sparkSession
+    if calibrations is None:
+        known = spark.createDataFrame(list(SERIALS.items()), "serial string, label string")
+    else:
+        known = calibrations.groupBy("serial").agg(F.min("label").alias("label"))
+    camera = F.element_at(F.create_map(*[F.lit(x) for kv in POINT_CAMERAS.items() for x in kv]), F.col("label"))
+    cameras = known.select("serial", camera.alias("camera")).where("serial is not null and camera is not null")
+    met = observations.select("time_ns", "serial", "uid").join(cameras, "serial")
+    return met.groupBy("time_ns", "camera").agg(F.sort_array(F.collect_list("uid")).alias("uids"))
+
+
 # Which camera a stream id belongs to.
 STREAMS = {"214-1": "rgb", "340-5": "rgb", "1201-1": "slaml", "340-1": "slaml", "1201-2": "slamr", "340-2": "slamr"}
 
@@ -187,6 +210,18 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def read_label_set(spark: SparkSession, folder: str, names: str | list[str] | None = None) -> DataFrame:
+    """The classes of the set that is named first, of the file <name>_classes.csv in ``folder``; without such a file the names themselves.
+
+    ``None`` means the set "default". Labels are in a column ``label``; a file without labels is an error.
+    """
+    names = ["default"] if names is None else [names] if isinstance(names, str) else list(names)
+    file = f"{names[0]}_classes.csv" if names else ""
+    if file in list_names(spark, folder):
+        return read_labels(spark, f"{folder}/{file}")
+    return spark.createDataFrame([(n,) for n in names], "label string")
+
+
 def vocabulary(spark: SparkSession, en: list[str], cn: list[str], colours: dict[str, str]) -> tuple[DataFrame, str]:
     """The table (en, cn, r, g, b) and the prompt of all names; both lists and the colours must agree."""
     import re

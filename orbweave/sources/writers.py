@@ -84,6 +84,23 @@ def dump_objects(boxes: DataFrame, folder: str) -> None:
     first.select(F.to_json(F.create_map(F.col("inst_id").cast("string"), F.struct(F.col("label").alias("category"), F.col("label").alias("instance_name"), F.col("prob")))).alias("value")).write.mode("overwrite").text(f"{folder}/instances.json")
 
 
+# The stream that a camera's boxes are written under.
+VIEW_STREAMS = {"rgb": "214-1", "slaml": "1201-1", "slamr": "1201-2"}
+
+
+def dump_views_2d(boxes: DataFrame, folder: str) -> None:
+    """Image boxes (inst_id, time_ns, camera, x_min, x_max, y_min, y_max) as the 2D table of a scene, in the layout that ``read_views_2d`` reads.
+
+    Instance -1 is left out, and so are boxes of other cameras; what share of a box is visible is not known and written
+    as 0, so read the table back with ``least_visible`` = 0. Corners have six decimals; without boxes there is a header.
+    """
+    stream = F.element_at(F.create_map(*[F.lit(x) for kv in VIEW_STREAMS.items() for x in kv]), F.col("camera"))
+    corner = lambda c: F.format_string("%.6f", F.col(c).cast("double")).alias(f"{c}[pixel]")
+    rows = boxes.where("inst_id <> -1").withColumn("stream_id", stream).where("stream_id is not null")
+    columns = ["stream_id", F.col("inst_id").alias("object_uid"), F.col("time_ns").alias("timestamp[ns]"), *[corner(c) for c in ("x_min", "x_max", "y_min", "y_max")], F.lit("0.000000").alias("visibility_ratio[%]")]
+    rows.select(*columns).write.mode("overwrite").option("header", True).csv(f"{folder}/2d_bounding_box.csv")
+
+
 def renamed_instance(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("instance", "fused_instance") if "fused_instance" not in df.columns else df
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import boxes, tables
 from orbweave.plans.spaces import lits
-from orbweave.sources import messages, scenes
+from orbweave.sources import files, messages, scenes, writers
 
 POSE = {"position": {"x": 1.0, "y": 2.0, "z": 3.0}, "orientation": {"x": 0.0, "y": 0.0, "z": 0.0, "w": 1.0}}
 
@@ -104,3 +104,31 @@ def test_scene(spark):
     views = spark.createDataFrame([("rgb", 100, 1, 1.0, 2.0, 3.0, 4.0), ("slamr", 200, 3, 1.0, 2.0, 3.0, 4.0)], "camera string, time_ns long, inst_id long, x_min double, x_max double, y_min double, y_max double")
     (row,) = scenes.scene_objects(frames, extents, named, classes, views, described=True).collect()
     assert (row["time_ns"], row["inst_id"], row["bb2_rgb"], row["bb2_slamr"][0], row["text"]) == (100, 1, [1, 2, 3, 4], -1, "thing 1")
+
+
+def test_points_by_camera(spark):
+    seen = spark.createDataFrame([(1, "a", 7), (1, "a", 3), (1, "b", 7), (2, "c", 9), (2, "x", 9), (2, None, 1), (3, "b", 4), (3, "b", 4)], "time_ns long, serial string, uid long")
+    calibrations = spark.createDataFrame([(0, "camera-slam-left", "a"), (5, "camera-slam-left", "a"), (0, "slam-front-right", "b"), (0, "camera-rgb", "c"), (0, "0", None)], "time_ns long, label string, serial string")
+    got = {(r["time_ns"], r["camera"]): r["uids"] for r in files.points_by_camera(seen, calibrations).collect()}
+    assert got == {(1, "slaml"): [3, 7], (1, "slamr"): [7], (3, "slamr"): [4, 4]}
+    plain = spark.createDataFrame([(1, "16", 2), (1, "17", 5), (1, "18", 6), (1, "a", 8)], "time_ns long, serial string, uid long")
+    assert {(r["camera"], *r["uids"]) for r in files.points_by_camera(plain).collect()} == {("slaml", 2), ("slamr", 5)}
+    assert files.points_by_camera(seen.limit(0), calibrations).count() == 0
+
+
+def test_label_sets(spark, tmp_path):
+    (tmp_path / "rooms_classes.csv").write_text("chair\n\n  table \n")
+    (tmp_path / "none_classes.csv").write_text("\n \n")
+    read = lambda names: [r["label"] for r in files.read_label_set(spark, str(tmp_path), names).collect()]
+    assert read("rooms") == read(["rooms", "ignored"]) == ["chair", "table"]
+    assert read(["lamp", "rooms"]) == ["lamp", "rooms"] and read("lamp") == ["lamp"] and read(None) == ["default"] and read([]) == []
+    with pytest.raises(ValueError):
+        read("none")
+
+
+def test_views_come_back_from_their_table(spark, tmp_path):
+    rows = [(4, 10, "rgb", 1.5, 20.25, 3.0, 4.0), (4, 10, "slaml", 0.0, 2.0, 0.125, 9.0), (5, 11, "slamr", 7.0, 8.0, 1.0, 2.0), (-1, 11, "rgb", 1.0, 2.0, 3.0, 4.0), (6, 12, "depth", 1.0, 2.0, 3.0, 4.0), (6, 12, None, 1.0, 2.0, 3.0, 4.0)]
+    boxes_2d = spark.createDataFrame(rows, "inst_id long, time_ns long, camera string, x_min double, x_max double, y_min double, y_max double")
+    writers.dump_views_2d(boxes_2d, str(tmp_path))
+    got = files.read_views_2d(spark, f"{tmp_path}/2d_bounding_box.csv").select("inst_id", "time_ns", "camera", "x_min", "x_max", "y_min", "y_max", "visibility")
+    assert sorted(map(tuple, got.collect())) == sorted((*r, 0.0) for r in rows[:3])
