@@ -99,20 +99,24 @@ def with_projected_boxes(df: DataFrame, box: tuple[str, str, str], cam: str, pos
 def patch_depths(points: DataFrame, frames: DataFrame, keys: list[str], width: int, height: int, patch: int) -> DataFrame:
     """(keys, patch_row, patch_column, depth): median over a patch's pixels of the mean depth of the points seen in each.
 
-    ``frames``: keys, ``camera``, ``pose``; ``points``: keys, x, y, z. Pixels are rounded half to even; "median" is the lower
-    one of two. Every patch of every frame has a row. Points are summed by pixel before they are shuffled, and pixels by
-    patch after, so a frame with very many points is a row for each of its pixels at most.
+    ``frames``: keys, ``camera``, ``pose``; ``points``: keys, x, y, z, and ``camera`` and ``pose`` if they have met their frames
+    before. Pixels are rounded half to even; "median" is the lower one of two. Every patch of every frame has a row. Points
+    are summed by pixel before they are shuffled, and pixels by patch after, so a frame with very many points is a row for
+    each of its pixels at most. Points that were made in partitions by keys stay there. No side is broadcast: Spark's estimate
+    of a table's size knows nothing of rows that were exploded.
     """
     if width % patch or height % patch:
         raise ValueError(f"a {width} x {height} image has no whole patches of {patch}")
-    met = _seen_from(points.select(*keys, "x", "y", "z").join(frames.select(*keys, "camera", "pose"), keys), "pose", ("x", "y", "z"))
+    if "camera" not in points.columns:
+        points = points.select(*keys, "x", "y", "z").join(frames.select(*keys, "camera", "pose").hint("merge"), keys)
+    met = _seen_from(points.select(*keys, "x", "y", "z", "camera", "pose"), "pose", ("x", "y", "z"))
     met = with_pixels(met, "camera", ("_x", "_y", "_z"), "_q").where("_q.valid")
     pixel = lambda c, most: F.greatest(F.lit(0), F.least(F.rint(F.col(f"_q.{c}")).cast("int"), F.lit(most - 1))).alias(f"_{c}")
     pixels = met.groupBy(*keys, pixel("u", width), pixel("v", height)).agg(F.avg("_z").alias("_z"))
     at = lambda c: F.floor(F.col(f"_{c}") / patch).cast("int")
     found = pixels.groupBy(*keys, at("v").alias("patch_row"), at("u").alias("patch_column")).agg(lower_median("_z").alias("depth"))
     grid = frames.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(height // patch - 1))).alias("patch_row")).withColumn("patch_column", F.explode(F.sequence(F.lit(0), F.lit(width // patch - 1))))
-    return grid.join(found, [*keys, "patch_row", "patch_column"], "left").withColumn("depth", F.coalesce("depth", F.lit(NO_DEPTH)))
+    return grid.join(found.hint("merge"), [*keys, "patch_row", "patch_column"], "left").withColumn("depth", F.coalesce("depth", F.lit(NO_DEPTH)))
 
 
 def stride(pixels: Column, wanted: int) -> Column:
