@@ -22,21 +22,26 @@ def _reach() -> Column:
     return F.sqrt(sum(F.col("size")[i] ** 2 for i in range(3))) / 2
 
 
+#: Cells are at least so many times as wide as the spheres in them: a box then lies in two cells on average, not in five.
+CELL_SPHERES = 4
+
+
 def _level() -> Column:
-    """The power of two that is the least cell at least as wide as the box's sphere."""
-    return F.ceil(F.log2(F.greatest(2 * F.col("_r"), F.lit(1e-6)))).cast("int")
+    """The power of four (as one of two) that is the least cell at least ``CELL_SPHERES`` times as wide as the box's sphere."""
+    return (2 * F.ceil(F.log2(F.greatest(2 * CELL_SPHERES * F.col("_r"), F.lit(1e-6))) / 2)).cast("int")
 
 
 def sphere_pairs(a: DataFrame, b: DataFrame, keys: list[str], extra: Column | None = None) -> DataFrame:
     """Pairs (``a_*``, ``b_*``) of boxes whose spheres meet, equal in ``keys``.
 
-    Cells come in sizes of powers of two. A box is put into the cells, eight at most, that its sphere touches at its own
+    Cells come in sizes of powers of four. A box is put into the cells, eight at most, that its sphere touches at its own
     size and at each larger one that some box has; two boxes are compared at the larger of their sizes, in the cell that
     holds the lower corner of what their spheres' cubes share. So one huge box costs eight cells, not one for each small
-    box in it. ``extra`` is one more condition on the pair.
+    box in it. Both sides are shuffled: Spark's estimate of a table's size knows nothing of the copies in cells, and would
+    send them all through the driver. ``extra`` is one more condition on the pair.
     """
     a, b = (df.withColumn("_r", _reach()).withColumn("_l", _level()) for df in (a, b))
-    sizes = a.select("_l").unionByName(b.select("_l")).distinct().where("_l is not null").orderBy("_l").collect()  # powers of two: some dozens
+    sizes = a.select("_l").unionByName(b.select("_l")).distinct().where("_l is not null").orderBy("_l").collect()  # powers of four: some dozens
     levels = F.array(*[F.lit(r["_l"]) for r in sizes]) if sizes else F.array().cast("array<int>")
 
     def spread(df: DataFrame, p: str) -> DataFrame:
@@ -56,7 +61,7 @@ def sphere_pairs(a: DataFrame, b: DataFrame, keys: list[str], extra: Column | No
         own = F.floor(F.greatest(A("center")[i] - A("_r"), B("center")[i] - B("_r")) / F.pow(F.lit(2.0), A("_at")))
         on = on & (own == A(f"_c{i}"))
     apart = sum((A("center")[i] - B("center")[i]) ** 2 for i in range(3))
-    met = left.join(right, on & (apart <= (A("_r") + B("_r")) ** 2) & (F.lit(True) if extra is None else extra))
+    met = left.join(right.hint("merge"), on & (apart <= (A("_r") + B("_r")) ** 2) & (F.lit(True) if extra is None else extra))
     return met.drop(*[p + c for p in ("a_", "b_") for c in ("_r", "_l", "_at", "_c0", "_c1", "_c2")])
 
 

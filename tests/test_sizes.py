@@ -27,3 +27,12 @@ def test_points_that_were_exploded_are_not_broadcast(spark, placed):
     assert "Broadcast" not in plan(apart)
     rows = lambda df: {tuple(r)[:3]: round(r["depth"], 9) for r in df.collect()}
     assert rows(apart) == rows(met) and len(rows(apart)) == 3 * 300 and max(rows(apart).values()) > 0
+
+
+def test_boxes_in_cells_are_not_broadcast_and_all_pairs_found(placed):
+    met = oriented.sphere_pairs(placed, placed, ["scene_id"], F.col("a_det_id") < F.col("b_det_id"))
+    assert "Broadcast" not in plan(met)
+    r = placed.withColumn("r", F.sqrt(sum(F.col("size")[i] ** 2 for i in range(3))) / 2).collect()
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a["center"], b["center"]))
+    want = sorted((a["det_id"], b["det_id"]) for a in r for b in r if a["det_id"] < b["det_id"] and a["scene_id"] == b["scene_id"] and far(a, b) <= (a["r"] + b["r"]) ** 2)
+    assert sorted(map(tuple, met.select("a_det_id", "b_det_id").collect())) == want
