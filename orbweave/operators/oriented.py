@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BOX = ("center", "size", "rotation")
 #: Bytes of sample points that one Arrow batch holds at a time.
 KERNEL_BYTES = 64 << 20
+#: A cell's centre nearer to a face than this lies on it, and so not inside, however the sums that place it were rounded.
+SLACK = 1e-9
 
 
 def _reach() -> Column:
@@ -77,7 +79,7 @@ def _cells_inside(a: np.ndarray, b: np.ndarray, grid: np.ndarray) -> np.ndarray:
     move = np.einsum("pki,pk->pi", rb, a[:, :3] - b[:, :3])
     half, inside = b[:, 3:6] / 2, np.ones((len(a), len(grid)), bool)
     for axis in range(3):
-        inside &= np.abs(turn[:, axis] @ grid.T + move[:, axis : axis + 1]) < half[:, axis : axis + 1]
+        inside &= np.abs(turn[:, axis] @ grid.T + move[:, axis : axis + 1]) < half[:, axis : axis + 1] - SLACK
     return inside.sum(1)
 
 

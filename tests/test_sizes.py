@@ -36,3 +36,11 @@ def test_boxes_in_cells_are_not_broadcast_and_all_pairs_found(placed):
     far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a["center"], b["center"]))
     want = sorted((a["det_id"], b["det_id"]) for a in r for b in r if a["det_id"] < b["det_id"] and a["scene_id"] == b["scene_id"] and far(a, b) <= (a["r"] + b["r"]) ** 2)
     assert sorted(map(tuple, met.select("a_det_id", "b_det_id").collect())) == want
+
+
+def test_cells_on_a_face_are_not_inside():
+    rng = np.random.default_rng(3)
+    at = rng.uniform(-20, 20, (2000, 3))
+    box = lambda c: np.concatenate([c, np.tile([1.0, 0.8, 1.0], (len(c), 1)), np.tile(np.eye(3).ravel(), (len(c), 1))], 1)
+    # moved by an eighth of the side: the outer cells' centres come to lie on the face
+    assert set(oriented._cells_inside(box(at), box(at + [0.0, 0.1, 0.0]), oriented._grid(4))) == {48}
