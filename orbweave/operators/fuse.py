@@ -124,7 +124,7 @@ def fuse_detections(detections: DataFrame, *, conf: float = 0.55, iou: float = 0
         edges = edges.join(name("a"), "a").join(name("b"), "b").where("_a = _b").drop("_a", "_b")
     if embeddings is not None:
         edges = alike(edges, embeddings, semantic)
-    found = step("clusters", cluster(kept, step("links", edges)))
+    found = step("clusters", cluster(kept, step("links", edges), written=statistics is not None))
     fused = step("fused", fuse_members(kept.join(found, "det_id"), weighting))
     supported = step("supported", fused.where(F.col("support_count") >= min_detections))
     return step("final", clean_instances(supported, nms, contained))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
+from ..staging import stage
+from .graph import components, roots
 from .groups import by_group
 from .spatial import BOX, sampled_iou
 
@@ -35,12 +38,52 @@ def suppress_2d(df: DataFrame, threshold: float = 0.5, frame: str = "frame_id",
     return by_group(df, frame, [F.desc("score"), F.desc(id_col)], kernel, df.schema)
 
 
+#: Matrices of up to so many entries are assigned in lists: numpy's calls cost more than what they do there.
+SMALL = 400
+
+
+def _assign_small(c: list[list[float]]) -> list[tuple[int, int]]:
+    """``assign`` step by step for no more rows than columns."""
+    n, m = len(c), len(c[0])
+    u, v, match = [0.0] * n, [0.0] * m, [-1] * m
+    for row in range(n):
+        dist, back, done = [math.inf] * m, [-1] * m, [False] * m
+        now, at, base = row, -1, 0.0
+        while True:
+            mine, off, best, least = c[now], u[now], -1, math.inf
+            for j in range(m):
+                if not done[j]:
+                    new = base + mine[j] - off - v[j]
+                    if new < dist[j] - 1e-15:
+                        dist[j], back[j] = new, at
+                    if dist[j] < least:
+                        best, least = j, dist[j]
+            at, base = best, least
+            done[at] = True
+            if match[at] < 0:
+                break
+            now = match[at]
+        u[row] += base
+        for j in range(m):
+            if done[j] and j != at:
+                u[match[j]] += base - dist[j]
+                v[j] -= base - dist[j]
+        while at >= 0:
+            prev = back[at]
+            match[at] = match[prev] if prev >= 0 else row
+            at = prev
+    return [(match[j], j) for j in range(m) if match[j] >= 0]
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """One-to-one assignment of least total cost, by shortest augmenting paths; rectangular matrices are all right."""
     if cost.size == 0:
         return []
     turned = cost.shape[0] > cost.shape[1]
     c = cost.T if turned else cost
+    if c.size <= SMALL:
+        pairs = _assign_small(c.tolist())
+        return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
     n, m = c.shape
     u, v, match = np.zeros(n), np.zeros(m), np.full(m, -1)
     for row in range(n):
@@ -72,6 +115,31 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) for a, b in pairs) if turned else sorted(pairs)
 
 
+def assign_listed(row: np.ndarray, column: np.ndarray, cost: np.ndarray, most: float = 1e6) -> list[tuple[int, int]]:
+    """``assign`` where only listed (row, column, cost) are allowed, costs under ``most``, as many as can be; places in sorted order.
+
+    Rows and columns that no list of pairs leads from one to the other are assigned apart, so a matrix is as large as the
+    largest such piece, not as all together.
+    """
+    r, c = np.unique(row, return_inverse=True)[1], np.unique(column, return_inverse=True)[1]
+    wide = r.max() + 1 if len(r) else 0
+    nodes, root = roots(r, c + wide)
+    piece = root[np.searchsorted(nodes, r)]
+    order, out = np.argsort(piece, kind="stable"), []
+    cuts = np.flatnonzero(np.diff(piece[order], prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        at = order[a:b]
+        if len(at) == 1:
+            out += [(int(r[at[0]]), int(c[at[0]]))] if cost[at[0]] < most else []
+            continue
+        rows, x = np.unique(r[at], return_inverse=True)
+        columns, y = np.unique(c[at], return_inverse=True)
+        full = np.full((len(rows), len(columns)), most)
+        full[x, y] = cost[at]
+        out += [(int(rows[i]), int(columns[j])) for i, j in assign(full) if full[i, j] < most]
+    return sorted(out)
+
+
 def merge_constrained(ids: list, frames: dict, edges: list[tuple]) -> dict:
     """Component of each id: edges (a, b, score) by falling score join two components unless both hold some frame."""
     parent, held = {i: i for i in ids}, {i: {frames[i]} if frames else set() for i in ids}
@@ -93,18 +161,20 @@ def merge_constrained(ids: list, frames: dict, edges: list[tuple]) -> dict:
     return {i: least[root(i)] for i in ids}
 
 
-def cluster(detections: DataFrame, edges: DataFrame, id_col: str = "det_id", frame: str | None = "frame_id") -> DataFrame:
+def cluster(detections: DataFrame, edges: DataFrame, id_col: str = "det_id", frame: str | None = "frame_id", written: bool = False) -> DataFrame:
     """(id, cluster): detections joined by edges (a, b, iou), never two of one frame; the least id names a cluster.
 
-    Components without the constraint never touch, so they are found first and the greedy merge runs inside each.
+    Components without the constraint never touch, so they are found first and the greedy merge runs inside each. Edges are
+    needed twice and so written out, unless they were ``written`` before.
     """
     nodes = detections.select(F.col(id_col).alias("node"))
     if frame is None:
         return components(nodes, edges).select(F.col("node").alias(id_col), F.col("component").alias("cluster"))
-    joined = edges if frame not in edges.columns else edges.drop(frame)
-    weak = components(nodes, joined)
+    joined = edges.select("a", "b", "iou")
+    joined = joined if written else stage(joined, "links")
+    weak = stage(components(nodes, joined), "components")
     members = weak.join(detections.select(F.col(id_col).alias("node"), F.col(frame).alias("frame")), "node").select("component", F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("frame").alias("b"), F.lit(0.0).alias("iou"))
-    links = joined.join(weak, joined["a"] == weak["node"]).select("component", F.lit(1).alias("kind"), "a", "b", "iou")
+    links = joined.join(weak.hint("merge"), joined["a"] == weak["node"]).select("component", F.lit(1).alias("kind"), "a", "b", "iou")
     kinds = dict(members.dtypes)
 
     def kernel(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -213,10 +283,11 @@ def assign_grouped(pairs: DataFrame, group: str, row: str, column: str, cost: st
     """Least-cost one-to-one assignment inside each group of (row, column, cost); pairs that are not listed are not allowed."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        r, c = np.unique(rows[row]), np.unique(rows[column])
-        full = np.full((len(r), len(c)), 1e6)
-        full[np.searchsorted(r, rows[row]), np.searchsorted(c, rows[column])] = rows[cost]
-        out = [(rows[group].iloc[0], r[i], c[j], full[i, j]) for i, j in assign(full) if full[i, j] < 1e6]
+        rows = rows.drop_duplicates([row, column], keep="last").sort_values([row, column])
+        r, c = (np.unique(rows[n], return_inverse=True) for n in (row, column))
+        value = rows[cost].to_numpy(float)
+        listed = dict(zip(zip(r[1].tolist(), c[1].tolist()), value.tolist()))
+        out = [(rows[group].iloc[0], r[0][i], c[0][j], listed[i, j]) for i, j in assign_listed(r[1], c[1], value)]
         return pd.DataFrame(out, columns=[group, row, column, cost])
 
     schema = T.StructType([pairs.schema[c] for c in (group, row, column, cost)])
