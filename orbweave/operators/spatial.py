@@ -63,8 +63,15 @@ def _share_inside(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return ((np.abs(c * dx + s * dy) <= b[:, 3:4] / 2 + SLACK) & (np.abs(c * dy - s * dx) <= b[:, 4:5] / 2 + SLACK)).mean(1)
 
 
+#: Points that are sampled together: arrays of this many stay in a processor's cache and out of the way of its memory.
+BLOCK_POINTS = 1 << 16
+
+
 def sampled_iou(a: np.ndarray, b: np.ndarray, n: int = 8) -> np.ndarray:
-    """Overlap over union of boxes (rows of BOX) by sampling the footprints on a fixed grid; exact in height."""
+    """Overlap over union of boxes (rows of BOX) by sampling the footprints on a fixed grid; exact in height. A block of pairs at a time."""
+    block = max(1, BLOCK_POINTS // (n * n))
+    if len(a) > block:
+        return np.concatenate([sampled_iou(a[i : i + block], b[i : i + block], n) for i in range(0, len(a), block)])
     z = np.maximum(_z_overlap(a, b), 0)
     area_a, area_b = a[:, 3] * a[:, 4], b[:, 3] * b[:, 4]
     inter = 0.5 * (area_a * _share_inside(a, b, n) + area_b * _share_inside(b, a, n)) * z

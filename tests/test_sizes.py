@@ -44,3 +44,60 @@ def test_cells_on_a_face_are_not_inside():
     box = lambda c: np.concatenate([c, np.tile([1.0, 0.8, 1.0], (len(c), 1)), np.tile(np.eye(3).ravel(), (len(c), 1))], 1)
     # moved by an eighth of the side: the outer cells' centres come to lie on the face
     assert set(oriented._cells_inside(box(at), box(at + [0.0, 0.1, 0.0]), oriented._grid(4))) == {48}
+
+
+def edge_reads(spark, edges):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    return edges.mapInPandas(count, edges.schema), seen
+
+
+@pytest.mark.parametrize("few", (0, 1 << 17))
+def test_components_read_edges_once_and_join_in_tasks(spark, monkeypatch, few):
+    from orbweave.operators import graph
+
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(a) + 1) for a in rng.permutation(400) if a % 50 != 49] + [(500, int(b)) for b in range(600, 640)] + [(7, 7)]
+    edges, seen = edge_reads(spark, spark.createDataFrame(pairs, "a long, b long").repartition(5))
+    found = dict(map(tuple, graph.components(spark.range(700).withColumnRenamed("id", "node"), edges).collect()))
+    assert found == {n: n // 50 * 50 if n < 400 else 500 if n == 500 or 600 <= n < 640 else n for n in range(700)}
+    assert seen.value == len(pairs)
+
+
+def test_clusters_read_edges_once(spark):
+    from orbweave.operators import greedy
+
+    nodes = spark.range(60).selectExpr("id as det_id", "id % 2 as frame_id")
+    edges, seen = edge_reads(spark, spark.range(59).selectExpr("id as a", "id + 1 as b", "0.5D as iou"))
+    assert greedy.cluster(nodes, edges).count() == 60 and seen.value == 59
+
+
+def test_assignment_of_pieces_costs_what_the_whole_matrix_does():
+    from orbweave.operators import greedy
+
+    rng = np.random.default_rng(2)
+    for trial in range(40):
+        full = np.where(rng.random((30, 25)) < 0.06, rng.random((30, 25)), 1e6)
+        x, y = np.nonzero(full < 1e6)
+        want = [(i, j) for i, j in greedy.assign(full) if full[i, j] < 1e6]
+        assert [(i, j) for i, j in ((np.unique(x)[a], np.unique(y)[b]) for a, b in greedy.assign_listed(x, y, full[x, y]))] == want
+
+
+def test_sampling_holds_one_block_of_pairs():
+    import tracemalloc
+
+    from orbweave.operators import spatial
+
+    rng = np.random.default_rng(1)
+    a, b = (np.column_stack([rng.uniform(0, 2, (20_000, 3)), rng.uniform(0.5, 2, (20_000, 3)), rng.uniform(-3, 3, 20_000)]) for _ in range(2))
+    tracemalloc.start()
+    whole = spatial.sampled_iou(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    tracemalloc.stop()
+    assert (whole[:50] == spatial.sampled_iou(a[:50], b[:50])).all()
