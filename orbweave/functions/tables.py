@@ -1,7 +1,7 @@
 """Table functions for SQL: the points of a box as rows, by a lateral join.
 
 ``register(spark)`` makes them known; then ``SELECT d.id, p.* FROM d, LATERAL edge_points(center, size, rotation, 3) p``.
-Rows come back in Arrow batches. A null argument, or fewer than one step, gives no rows.
+Rows come back as they are: an Arrow batch for each box costs several times what its few points do. A null argument, or fewer than one step, gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class _Points:
         return self.known[steps]
 
 
-@udtf(returnType=POINT, useArrow=True)
+@udtf(returnType=POINT, useArrow=False)
 class EdgePoints(_Points):
     """``steps`` points on each of the twelve edges, ends included: edges along x first, then y, then z."""
 
@@ -47,7 +47,7 @@ class EdgePoints(_Points):
             yield from _placed(self.unit((steps,)), center, size, rotation)
 
 
-@udtf(returnType=POINT, useArrow=True)
+@udtf(returnType=POINT, useArrow=False)
 class VoxelPoints(_Points):
     """Centres of the cells of a box cut into nx, ny and nz parts; x varies slowest, z fastest."""
 
