@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -96,15 +98,59 @@ class FusionStatistics:
         return {name: seen.get["rows"] for name, seen in self._seen.items()}
 
 
+#: Vectors of a key that are compared with as many others in one task, and rows of the products it holds at a time.
+VECTORS, STRIP = 4096, 256
+
+
+def alike_pairs(vectors: DataFrame, key: str, least: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b) for all pairs of ids a < b, equal in ``key``, whose vectors have a cosine of at least ``least``, in double precision.
+
+    All pairs are compared: vectors of a key are dealt into blocks and each pair of blocks is one group, so work is spread and
+    memory bounded, but time grows with the square of a key's vectors. Null or zero vectors, or null components, are like none.
+    """
+    known = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    blocks = known.groupBy(key).agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("_blocks"))
+    own = known.select(F.col(key).alias("_key"), F.col(id_col).alias("id"), F.col(vector).alias("v")).join(blocks, F.col("_key") == F.col(key)).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    copies = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    copies = copies.select("_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_own", "id", "v")
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.cumsum(x * y, 1)[:, -1]  # one after the other, as a row's expression sums
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = (rows["_own"] == rows["_i"]).to_numpy()
+        same = rows["_i"].iloc[0] == rows["_j"].iloc[0]
+        ids, v = rows["id"].to_numpy(), np.stack([np.asarray(x, float) for x in rows["v"]])
+        norm = np.sqrt(inner(v, v))
+        good = norm > 0
+        left = np.flatnonzero(good & first)
+        right = left if same else np.flatnonzero(good & ~first)
+        unit, out = v[right] / norm[right, None], []
+        for at in range(0, len(left), STRIP):
+            part = left[at : at + STRIP]
+            x, y = np.nonzero((v[part] / norm[part, None]) @ unit.T >= least - 1e-9)
+            x, y = part[x], right[y]
+            keep = ids[x] < ids[y] if same else np.ones(len(x), bool)
+            x, y = x[keep], y[keep]
+            keep = inner(v[x], v[y]) / (norm[x] * norm[y]) >= least
+            x, y = ids[x[keep]], ids[y[keep]]
+            out.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+
+    return copies.groupBy("_key", "_i", "_j").applyInPandas(run, f"a {kind}, b {kind}")
+
+
 def alike(edges: DataFrame, embeddings: DataFrame, least: float, id_col: str = "det_id", vector: str = "embedding") -> DataFrame:
     """Edges (a, b, ...) whose ends have embeddings with a cosine of at least ``least``.
 
     Only pairs that are edges already are compared, never all. An end without an embedding, or with a zero one, is like none.
     """
-    inner = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    known = embeddings.select(F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).withColumn("_n", F.sqrt(inner("_v", "_v")))
+    inner = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    known = embeddings.select(F.col(id_col).alias("_id"), F.col(vector).alias("_v"))
+    known = known.withColumn("_n", F.sqrt(inner("_v", "_v"))).where(F.col("_n") > 0)
     side = lambda c: known.select(F.col("_id").alias(c), F.col("_v").alias(f"_v{c}"), F.col("_n").alias(f"_n{c}"))
-    met = edges.join(side("a"), "a").join(side("b"), "b").where((F.col("_na") > 0) & (F.col("_nb") > 0))
+    met = edges.join(side("a"), "a").join(side("b"), "b")  # a vector goes with each link, so it stays as narrow as it came
     return met.where(inner("_va", "_vb") / (F.col("_na") * F.col("_nb")) >= least).select(*edges.columns)
 
 

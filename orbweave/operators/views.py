@@ -59,15 +59,16 @@ def box_views(boxes: np.ndarray, poses: np.ndarray, cams: np.ndarray, steps: int
     return [*sides, points, full]
 
 
-def box_edge_points(df: DataFrame, keys: list[str], box: tuple[str, str, str], steps: int) -> DataFrame:
-    """(keys, x, y, z): the points of ``_edge_grid`` of each box as rows; for three points an edge or more as ``edge_points`` orders them.
+def box_edge_points(df: DataFrame, keys: list[str], box: tuple[str, str, str], steps: int, pos: str | None = None) -> DataFrame:
+    """(keys, x, y, z), with ``pos`` also each point's place: the points of ``_edge_grid`` of each box as rows; for three points an edge or more as ``edge_points`` orders them.
 
     The points of a cube are one constant array, so a box's are plain sums of generated code, not nested array functions.
     """
     grid = F.array(*[F.struct(*[F.lit(float(x)).alias(n) for n, x in zip("abc", p)]) for p in _edge_grid(steps)])
     center, size, turn = (F.col(c) for c in box)
     flat = {f"_s{i}": size[i] for i in range(3)} | {f"_c{i}": center[i] for i in range(3)} | {f"_r{i}": turn[i] for i in range(9)}
-    rows = df.select(*keys, *[c.alias(n) for n, c in flat.items()]).withColumn("_e", F.explode(grid))
+    rows = df.select(*keys, *[c.alias(n) for n, c in flat.items()]).select("*", *([F.posexplode(grid).alias(pos, "_e")] if pos else [F.explode(grid).alias("_e")]))
+    keys = [*keys, *([pos] if pos else [])]
     rows = rows.withColumns({f"_u{i}": F.col(f"_e.{n}") * F.col(f"_s{i}") for i, n in enumerate("abc")})
     return rows.select(*keys, *[(F.col(f"_c{j}") + sum(F.col(f"_r{3 * j + i}") * F.col(f"_u{i}") for i in range(3))).alias(n) for j, n in enumerate("xyz")])
 

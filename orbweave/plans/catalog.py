@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, camera, geometry, text
-from ..operators import asof, filters, fuse, greedy, ranks, spatial, tracking
+from ..operators import asof, filters, fuse, greedy, ranks, spatial, tracking, views
 from ..operators.graph import components
 from ..sources import writers
 from ..staging import stage
@@ -335,11 +335,7 @@ def j14_radius(spark, sf):
 
 @query("WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.4")
 def j15_cosine(spark, sf):
-    e = table(spark, sf, "embeddings").selectExpr("vec_id", "label", "transform(embedding, x -> cast(x as double)) as v")
-    inner = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    e = e.withColumn("n", F.sqrt(inner("v", "v")))
-    a, b = (e.select("label", *[F.col(c).alias(f"{p}_{c}") for c in ("vec_id", "v", "n")]) for p in "ab")
-    return a.join(b, "label").where("a_vec_id < b_vec_id").where(inner("a_v", "b_v") / (F.col("a_n") * F.col("b_n")) >= 0.4).select(F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"))
+    return fuse.alike_pairs(table(spark, sf, "embeddings"), "label", 0.4).select("a", "b")
 
 
 @query()
@@ -563,8 +559,8 @@ def _placed(spark, sf):
 p AS (SELECT axis * 12 + ((i + 1) + (j + 1) // 2) * 3 + k AS pos, CASE axis WHEN 0 THEN k - 1 ELSE i END AS x, CASE axis WHEN 0 THEN i WHEN 1 THEN k - 1 ELSE j END AS y, CASE axis WHEN 2 THEN k - 1 ELSE j END AS z FROM q)
 SELECT det_id, pos, round(tx + cos(yaw) * x * sx / 2 - sin(yaw) * y * sy / 2, 6) + 0.0 AS x, round(ty + sin(yaw) * x * sx / 2 + cos(yaw) * y * sy / 2, 6) + 0.0 AS y, round(tz + z * sz / 2, 6) + 0.0 AS z FROM d, p""")
 def g18_edges(spark, sf):
-    d = _placed(spark, sf).select("det_id", F.posexplode(boxes.edge_points(F.col("c"), F.col("s"), F.col("r"), 3)).alias("pos", "p"))
-    return d.select("det_id", F.col("pos").cast("long").alias("pos"), *[r(F.col("p")[i]).alias(n) for i, n in enumerate("xyz")])
+    d = views.box_edge_points(_placed(spark, sf), ["det_id"], ("c", "s", "r"), 3, "pos")
+    return d.select("det_id", F.col("pos").cast("long").alias("pos"), *[r(n) for n in "xyz"])
 
 
 @query(D3 + ", q AS (SELECT i * 6 + j * 2 + k AS pos, (i + 0.5E0) / 2 - 0.5 AS x, (j + 0.5E0) / 3 - 0.5 AS y, (k + 0.5E0) / 2 - 0.5 AS z FROM (SELECT unnest(range(2)) AS i), (SELECT unnest(range(3)) AS j), (SELECT unnest(range(2)) AS k)) SELECT det_id, pos, round(tx + cos(yaw) * x * sx - sin(yaw) * y * sy, 6) + 0.0 AS x, round(ty + sin(yaw) * x * sx + cos(yaw) * y * sy, 6) + 0.0 AS y, round(tz + z * sz, 6) + 0.0 AS z FROM d, q")

@@ -101,3 +101,50 @@ def test_sampling_holds_one_block_of_pairs():
     assert tracemalloc.get_traced_memory()[1] < 16 << 20
     tracemalloc.stop()
     assert (whole[:50] == spatial.sampled_iou(a[:50], b[:50])).all()
+
+
+def test_pairs_of_vectors_by_blocks_are_those_by_row(spark, monkeypatch):
+    from orbweave.operators import fuse
+
+    monkeypatch.setattr(fuse, "VECTORS", 40)
+    monkeypatch.setattr(fuse, "STRIP", 7)
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(150, 4)), 2)
+    v[7] = 0
+    rows = [(i, i % 2 if i < 148 else None, x.tolist()) for i, x in enumerate(v)] + [(900, 0, None), (901, 0, [1.0, None, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    f = v.astype(np.float32).astype(float)
+    cos = lambda i, j: f[i] @ f[j] / np.sqrt((f[i] @ f[i]) * (f[j] @ f[j]))
+    want = [(i, j) for i in range(148) for j in range(i + 1, 148) if i % 2 == j % 2 and 7 not in (i, j) and cos(i, j) >= 0.7]
+    assert sorted(map(tuple, fuse.alike_pairs(df, "label", 0.7).collect())) == want
+
+
+def test_vectors_go_with_links_as_narrow_as_they_came(spark):
+    from orbweave.operators import fuse
+
+    known = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "det_id long, embedding array<float>")
+    out = fuse.alike(spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long"), known, 0.5)
+    assert [tuple(r) for r in out.collect()] == [(1, 2)]
+    assert "cast(embedding" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_places_of_edge_points_and_their_table_function(spark, placed):
+    from orbweave.functions import boxes, tables
+
+    rows = lambda df: sorted((r["det_id"], r["pos"], *(round(r[c], 9) for c in "xyz")) for r in df.collect())
+    got = views.box_edge_points(placed, ["det_id"], ("center", "size", "rotation"), 3, "pos")
+    want = placed.select("det_id", F.posexplode(boxes.edge_points(F.col("center"), F.col("size"), F.col("rotation"), 3)).alias("pos", "p")).select("det_id", "pos", *[F.col("p")[i].alias(n) for i, n in enumerate("xyz")])
+    assert rows(got) == rows(want) and len(rows(got)) == 300 * 36
+    assert tables.EdgePoints.evalType == 300  # rows of few points, no Arrow batch for each box
+
+
+def test_bounds_that_meet_are_found_together():
+    from orbweave.streaming import keyed_fusion as k
+
+    rng = np.random.default_rng(6)
+    boxes = np.column_stack([rng.uniform(0, 9, (60, 3)), rng.uniform(0.2, 2, (60, 3)), rng.uniform(-3, 3, 60)]).tolist()
+    known = {i: k.bounds_of([[0, 0, "", 0, *b]]) for i, b in enumerate(boxes[:40])}
+    new = k.each_bounds(boxes[40:])
+    meet = lambda a, b: all(a[i] <= b[i + 3] and b[i] <= a[i + 3] for i in range(3))
+    assert k._met(known, new) == [i for i in known if any(meet(known[i], b) for b in new.tolist())]
+    assert k._met({}, new) == [] and k._met(known, new[:0]) == []
