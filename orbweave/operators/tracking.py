@@ -294,12 +294,13 @@ class Feed:
     def close(self) -> Iterator[tuple]:
         if not self.rows:
             return
-        rows, self.rows = pd.concat(self.rows, ignore_index=True), []
-        pick = lambda kind: rows[rows.kind == kind]
-        cameras, points, found = pick(CAMERA), pick(POINT), pick(DETECTION)
+        rows, self.rows = self.rows, []
+        kind, v, prob, label = (np.concatenate([r[c].to_numpy() for r in rows]) for c in ("kind", "v", "prob", "label"))
+        cameras, points, found = (np.flatnonzero(kind == k) for k in (CAMERA, POINT, DETECTION))
         if len(cameras) or len(found):
-            view = View(np.array(cameras.v.iloc[0], float) if len(cameras) else None, np.array(points.v.tolist(), float).reshape(-1, 3) if self.with_points else None)
-            boxes = [{"box": list(map(float, v)), "prob": float(p), "label": x} for v, p, x in zip(found.v, found.prob, found.label)]
+            seen = np.array(v[points].tolist(), float).reshape(-1, 3) if self.with_points else None
+            view = View(np.array(v[cameras[0]], float) if len(cameras) else None, seen)
+            boxes = [{"box": list(map(float, v[i])), "prob": float(prob[i]), "label": label[i]} for i in found]
             yield from track_rows(self.frame, self.tracker.update(self.frame, boxes, view))
 
 

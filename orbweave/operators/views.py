@@ -9,6 +9,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -36,6 +37,7 @@ def _seen_from(df: DataFrame, pose: str, point: tuple[str, str, str], names: tup
 BLOCK_POINTS = 1 << 20
 
 
+@lru_cache(maxsize=32)
 def _edge_grid(steps: int) -> np.ndarray:
     """Points of a unit cube about the origin: ``steps`` on each edge, or the corners for up to two."""
     ends = (-0.5, 0.5)

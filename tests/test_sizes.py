@@ -148,3 +148,7 @@ def test_bounds_that_meet_are_found_together():
     meet = lambda a, b: all(a[i] <= b[i + 3] and b[i] <= a[i + 3] for i in range(3))
     assert k._met(known, new) == [i for i in known if any(meet(known[i], b) for b in new.tolist())]
     assert k._met({}, new) == [] and k._met(known, new[:0]) == []
+
+
+def test_grids_of_boxes_are_made_once():
+    assert views._edge_grid(4) is views._edge_grid(4) and views._edge_grid(4).shape == (48, 3)
