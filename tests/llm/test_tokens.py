@@ -146,6 +146,21 @@ def test_attention_beats_word_counts_on_held_out_texts(spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_network_learns_from_every_row(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "SAMPLE_DOCUMENTS", 5)
+    monkeypatch.setattr(attention_lm, "EPOCHS", 1)
+    monkeypatch.setattr(attention_lm, "GROUP_WORDS", 2000)
+    monkeypatch.setattr(attention_lm, "LEARNED_IDS", 500)
+    texts = [f"row {i} has its own word w{i}x{i * i} " + "and more " * (i % 60) for i in range(300)] + ["", None, "same text", "same text"]
+    answered, renew = [], attention_lm.AttentionMixture.renew
+    monkeypatch.setattr(attention_lm.AttentionMixture, "renew", lambda self, counts, prior: answered.append(counts.copy()) or renew(self, counts, prior))
+    got = attention_lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), PATH).collect()
+    assert len(got) == len(texts) and all(math.isfinite(r["score"]) for r in got)
+    code = bpe.coder(PATH)
+    ids = Counter(i for d, t in enumerate(texts) if samples.remainder(d) != 1 for i in [*np.frombuffer(code.encode_plain([t or ""])[0], "<u4").tolist(), len(code.strings) - 1])
+    assert {int(i): round(float(answered[-1][i].sum())) for i in np.flatnonzero(answered[-1].any(1))} == dict(ids)
+
+
 def test_each_subword_is_scored_once():
     for n in (1, 5, 24, 25, 100):
         ids = np.arange(n)
