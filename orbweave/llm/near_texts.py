@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import forget
 from .common import BATCH_ROWS, fresh, join_hot, stage, unstage
 from .components import components
 from .golay import Golay
@@ -83,6 +84,7 @@ def _prints(texts: DataFrame, words: int) -> DataFrame:
     """(row, a, b, n, same, also): the fingerprint of every row of (row, text), how many different shingles it has, and a digest of its word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # workers are reused, and may still hold the caches of an encoder
         for batch in _bounded(batches):
             a, b, n, same = [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -172,3 +172,17 @@ def test_trees_hold_all_that_candidates_connect_in_a_bucket():
     for i in range(90):
         want.setdefault(least[i], set()).add(i)
     assert sorted(map(sorted, trees.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_hashing_lets_go_of_encoders():
+    from orbweave.llm import bpe
+
+    class Frame:  # hands the function of mapInArrow over, as a reused worker gets it
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    bpe._coders["left by a packing task"] = object()
+    text = pa.RecordBatch.from_pydict({"row": pa.array([1], pa.int64()), "text": ["one two three four five six"]})
+    out = list(near_texts._prints(Frame(), 5).run(iter([text])))
+    assert out[0].column(3).to_pylist() == [2] and not bpe._coders
