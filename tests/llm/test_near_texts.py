@@ -186,3 +186,64 @@ def test_hashing_lets_go_of_encoders():
     text = pa.RecordBatch.from_pydict({"row": pa.array([1], pa.int64()), "text": ["one two three four five six"]})
     out = list(near_texts._prints(Frame(), 5).run(iter([text])))
     assert out[0].column(3).to_pylist() == [2] and not bpe._coders
+
+
+def family(size, seed=13):
+    """Near copies of one text, each with a few changes of its own: most pairs are similar enough, and all share a bucket."""
+    rng = random.Random(seed)
+    base = words(rng, 160)
+    rows = []
+    for i in range(size):
+        copy = list(base)
+        for _ in range(rng.randint(1, 3)):
+            copy[rng.randrange(len(copy))] = "".join(rng.choices("abcdefghij", k=7))
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_pairs_verified_grow_with_the_rows_of_a_family_not_with_its_pairs_or_keys(spark, monkeypatch):
+    tried, verify = [], near_texts.verified
+    monkeypatch.setattr(near_texts, "verified", lambda pairs, *rest: tried.append(pairs.count()) or verify(pairs, *rest))
+    rows = family(300)
+    got = near_texts.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r["doc_id"] for r in got) == plain(rows)
+    assert sum(tried) <= 4 * len(rows)
+
+
+@pytest.mark.parametrize("part_rows", [10, 1 << 19])
+def test_half_keys_give_the_keys_that_more_than_one_row_has(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(near_texts, "PART_ROWS", part_rows)
+    monkeypatch.setattr(near_texts, "WIDENED_ROWS", 50)
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 62, 30)[rng.integers(0, 30, 60)] ^ (1 << rng.integers(0, 62, 60))
+    b = rng.integers(0, 1 << 42, 30)[rng.integers(0, 30, 60)]
+    prints = spark.createDataFrame([(i, int(x), int(y), 5) for i, (x, y) in enumerate(zip(a, b))], "row long, a long, b long, n int")
+    want = near_texts._keys(prints).toPandas()
+    halves = near_texts._half_keys(prints).toPandas().sort_values(["part", "row"])
+    assert len(halves) < len(want) / 3
+    wide = []
+    parts = [pa.RecordBatch.from_pandas(halves[i : i + 37], preserve_index=False) for i in range(0, len(halves), 37)]
+    got = pa.Table.from_batches(list(near_texts._widened(iter(parts), wide))).to_pandas()
+    assert got["key"].is_monotonic_increasing and (part_rows > 60) == (not wide)
+    want = want[want.groupby("key")["row"].transform("size").gt(1) & ~(want["key"] // 4096).isin(wide)]
+    order = ["key", "row", "a", "b", "n"]
+    assert got.sort_values(order)[order].values.tolist() == want.sort_values(order)[order].values.tolist()
+
+
+def test_wide_half_keys_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "PART_ROWS", 10)
+    monkeypatch.setattr(near_texts, "WIDENED_ROWS", 50)
+    rows = family(60) + [(100 + i, t) for i, t in frames(20)]
+    got = near_texts.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r["doc_id"] for r in got) == plain(rows)
+
+
+def test_sketches_rule_out_only_what_cannot_be_similar():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(-(1 << 31), 1 << 31, n).astype(np.int32)) for n in (1, 40, 300, 3000)]
+    sets += [np.unique(np.where(rng.random(len(s)) < 0.1, rng.integers(-(1 << 31), 1 << 31, len(s)), s).astype(np.int32)) for s in sets]
+    n = np.array([len(s) for s in sets])
+    bits = near_texts._sketches(np.concatenate(sets), n)
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            assert near_texts._most_shared(n[[i]], bits[[i]], bits[[j]])[0] >= len(np.intersect1d(sets[i], sets[j]))
