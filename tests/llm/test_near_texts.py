@@ -215,8 +215,8 @@ def test_half_keys_give_the_keys_that_more_than_one_row_has(spark, monkeypatch,
     monkeypatch.setattr(near_texts, "PART_ROWS", part_rows)
     monkeypatch.setattr(near_texts, "WIDENED_ROWS", 50)
     rng = np.random.default_rng(8)
-    a = rng.integers(0, 1 << 62, 30)[rng.integers(0, 30, 60)] ^ (1 << rng.integers(0, 62, 60))
-    b = rng.integers(0, 1 << 42, 30)[rng.integers(0, 30, 60)]
+    a = rng.integers(0, 1 << 62, 3)[rng.integers(0, 3, 60)] ^ (1 << rng.integers(0, 62, 60))
+    b = rng.integers(0, 1 << 42, 3)[rng.integers(0, 3, 60)]
     prints = spark.createDataFrame([(i, int(x), int(y), 5) for i, (x, y) in enumerate(zip(a, b))], "row long, a long, b long, n int")
     want = near_texts._keys(prints).toPandas()
     halves = near_texts._half_keys(prints).toPandas().sort_values(["part", "row"])
