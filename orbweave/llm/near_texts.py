@@ -532,13 +532,16 @@ def rare_links(sets: DataFrame, similarity: float, nearest: bool = False) -> Dat
     """
     rare = stage(_rare_rows(sets, similarity), "rare")
     met = rare.groupBy("shingle").agg(F.count("*").alias("count"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    rows = rare.join(met.select("shingle", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("blocks")), "shingle")
+    met = stage(met.select("shingle", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("blocks")), "met")
+    rows = _perhaps(rare, "shingle", met.select(F.col("shingle").alias("row")), "perhaps").where("perhaps").drop("perhaps")
+    rows = rows.join(met, "shingle")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "place", "row", "component", "n", "sketch")
     pairs = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(_rare_pairs(similarity, nearest), "a long, b long, apart int")
     out = stage(pairs.distinct(), "rare_pairs")
     unstage(rare)
+    unstage(met)
     return out
 
 
