@@ -252,7 +252,8 @@ def seen_pixels(points: np.ndarray, cams: np.ndarray, degrees: float | None = 14
         r2, along = p * p + q * q, 2 * (t[wide, :1] * p + t[wide, 1:] * q)
         a[wide] = p * (1 + along) + t[wide, :1] * r2 + r2 * (s[wide, :1] + s[wide, 1:2] * r2)
         b[wide] = q * (1 + along) + t[wide, 1:] * r2 + r2 * (s[wide, 2:3] + s[wide, 3:] * r2)
-    u, v = fx * a + cx, fy * b + cy
+    tall = flat != 0  # a pinhole's focal length is taken before the division, as ``pinhole_project`` has it: halves of pixels stay halves
+    u, v = np.where(tall, fx * x / z, fx * a) + cx, np.where(tall, fy * y / z, fy * b) + cy
     valid = (u >= 0) & (u <= width - 1) & (v >= 0) & (v <= height - 1) & (((u - cx) / rx) ** 2 + ((v - cy) / ry) ** 2 < 1) & (depth > 0)
     if degrees:
         valid &= depth > math.cos(math.radians(degrees / 2)) * np.sqrt(x * x + y * y + depth * depth)

@@ -71,8 +71,8 @@ def box_edge_points(df: DataFrame, keys: list[str], box: tuple[str, str, str], s
     flat = {f"_s{i}": size[i] for i in range(3)} | {f"_c{i}": center[i] for i in range(3)} | {f"_r{i}": turn[i] for i in range(9)}
     rows = df.select(*keys, *[c.alias(n) for n, c in flat.items()]).select("*", *([F.posexplode(grid).alias(pos, "_e")] if pos else [F.explode(grid).alias("_e")]))
     keys = [*keys, *([pos] if pos else [])]
-    rows = rows.withColumns({f"_u{i}": F.col(f"_e.{n}") * F.col(f"_s{i}") for i, n in enumerate("abc")})
-    return rows.select(*keys, *[(F.col(f"_c{j}") + sum(F.col(f"_r{3 * j + i}") * F.col(f"_u{i}") for i in range(3))).alias(n) for j, n in enumerate("xyz")])
+    part = lambda j, i: F.col(f"_r{3 * j + i}") * F.col(f"_e.{'abc'[i]}") * F.col(f"_s{i}")
+    return rows.select(*keys, *[sum((part(j, i) for i in range(3)), F.col(f"_c{j}")).alias(n) for j, n in enumerate("xyz")])  # from the left, as SQL adds them
 
 
 def with_projected_boxes(df: DataFrame, box: tuple[str, str, str], cam: str, pose: str, steps: int = 1, ratio: float = 1 / 6, degrees: float | None = 140.0, name: str = "bb2") -> DataFrame:

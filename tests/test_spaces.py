@@ -227,6 +227,26 @@ def test_patches_hold_the_median_of_pixel_means(spark):
         views.patch_depths(frames, frames, ["frame"], 9, 8, 4)
 
 
+def test_pixels_halfway_are_those_of_plain_sums(spark):
+    """Boxes that are not turned, whose points fall halfway between pixels: the digits of plain sums decide, so all are taken in their order."""
+    draw = np.random.default_rng(3)
+    boxes = [(i, [3.0 * int(a) + int(b) / 100, 3.0 * int(c) + int(d) / 100, 0.5 + int(e) / 100], [1 + int(f) / 50, 0.8 + int(g) / 50, 1.0], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for i, (a, b, c, d, e, f, g) in enumerate(zip(*[draw.integers(lo, hi, 20_000) for lo, hi in ((0, 5), (-50, 51), (2, 5), (-48, 49), (-5, 6), (0, 9), (0, 7))]))]
+    eye = rows(spark, boxes, "i int, c array<double>, s array<double>, r array<double>").withColumn("camera", camera.camera(lits(200, 200, 160.3, 119.7), F.lit(320), F.lit(240))).withColumn("pose", geometry.pose(lits(1, 0, 0, 0, 0, 1, 0, -1, 0), lits(6, 4, 1)))
+    met = views._seen_from(views.box_edge_points(eye, ["i", "camera", "pose"], ("c", "s", "r"), 4, "pos"), "pose", ("x", "y", "z"))
+    got = camera.with_pixels(met, "camera", ("_x", "_y", "_z"), "q").where("q.valid").select("i", "pos", F.rint("q.u").alias("u"), F.rint("q.v").alias("v")).collect()
+    line, want, halves = [k * 2 / 3.0 - 1 for k in range(4)], {}, 0
+    grid = [tuple((a, b)[:axis] + (at,) + (a, b)[axis:]) for axis in range(3) for a in (-1, 1) for b in (-1, 1) for at in line]
+    for i, (tx, ty, tz), (sx, sy, sz), _ in boxes:
+        for pos, (x, y, z) in enumerate(grid):
+            px, py, pz = tx + x * sx / 2 - 6, -(tz + z * sz / 2 - 1), ty + y * sy / 2 - 4
+            if pz > 0:
+                u, v = 200 * px / pz + 160.3, 200 * py / pz + 119.7
+                want[i, pos] = (round(u), round(v))
+                halves += abs(u - math.floor(u) - 0.5) < 1e-9
+    assert halves > 100 and len(got) > 10_000
+    assert [x for x in got if (x["u"], x["v"]) != want[x["i"], x["pos"]]] == []
+
+
 def png(pixels, kinds, depth=16, colour=0, cut=None):
     """A PNG file of 16-bit grey pixels whose rows use the filters in turn."""
     high, wide = pixels.shape
