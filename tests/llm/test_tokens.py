@@ -252,6 +252,51 @@ def test_contexts_are_the_same_wherever_they_stand():
     assert 0 < len(place) < len(flat) / 4
 
 
+@pytest.mark.parametrize("size, first, parts", [(50, 48, 1), (50, 48, 7), (49_409, 49_407, 3), (70_000, 69_998, 4)])
+def test_memory_of_chunks_is_that_of_a_plain_count(spark, size, first, parts):
+    rng = np.random.default_rng(size + parts)
+    texts = [np.append(rng.integers(0, 4, rng.integers(0, 60)) * (size // 5), first) for _ in range(120)] + [np.array([first])]
+    texts += [texts[3]] * 20 + [np.append(np.full(500, 7), first)]
+    held = [i % 5 == 1 for i in range(len(texts))]
+    coded = [(i // 30, i, held[i], bytearray(attention_lm._packed(x, size))) for i, x in enumerate(texts)]
+    # two partitions cut through the second chunk
+    coded = spark.createDataFrame(spark.sparkContext.parallelize(coded, 1).zipWithIndex().map(lambda x: (int(x[1] > 44), x[0])).partitionBy(2).values(), "chunk long, row long, held_out boolean, ids binary")
+    answers = attention_lm._answered(attention_lm._asked(coded, size, parts), size).orderBy("start", "part").collect()
+    assert len({(r["chunk"], r["start"]) for r in answers}) == 6
+    flat = [(tuple(([first] * attention_lm.ORDER + x.tolist())[i : i + attention_lm.ORDER]), int(x[i]), held[t]) for t, x in enumerate(texts) for i in range(len(x))]
+    counts = Counter((c, g) for c, g, out in flat if not out)
+    once, twice = (sum(v == k for v in counts.values()) for k in (1, 2))
+    assert (once, twice) == (sum(r["once"] for r in answers), sum(r["twice"] for r in answers)) and once
+    d, total, kinds = attention_lm.discount_of(once, twice), Counter(), Counter()
+    for (c, _), n in counts.items():
+        total[c] += n
+        kinds[c] += 1
+    got = []
+    for start in sorted({r["start"] for r in answers}):
+        mine = [r for r in answers if r["start"] == start]
+        rows = texts[start : mine[0]["stop"] + 1]
+        keys = attention_lm.keys_of(np.concatenate(rows), np.array([len(x) for x in rows]), first, size)
+        got += zip(*attention_lm._known(keys, [bytes(r["counts"]) for r in mine], d))
+    assert len(got) == len(flat)
+    for (c, g, _), (a, b) in zip(flat, got):
+        assert (a, b) == pytest.approx((max(counts[c, g] - d, 0) / total[c], d * kinds[c] / total[c]) if total[c] else (0, 1), rel=1e-5)
+
+
+def test_every_context_is_remembered(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "EPOCHS", 1)
+    monkeypatch.setattr(attention_lm, "CHUNK_IDS", 300, raising=False)
+    monkeypatch.setattr(attention_lm, "COUNTED_IDS", 500, raising=False)
+    rng = np.random.default_rng(2)
+    texts = ["".join(chr(97 + c) if c < 26 else " " for c in rng.integers(0, 30, 300)) for _ in range(20)]
+    kept, out = ([d for d in range(400) if (samples.remainder(d) == 1) == held] for held in (False, True))
+    rows = [(d, texts[i % 20]) for i, d in enumerate(kept[:80])] + [(d, t) for d, t in zip(out, texts)]
+    got = {r["doc_id"]: r["score"] for r in attention_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), PATH).collect()}
+    subwords = [len(c) // 4 + 1 for c in bpe.coder(PATH).encode_plain(texts)]
+    assert len(got) == 100 and min(subwords) > 100
+    # each text was learned four times, so of each subword at least 3 1/2 in 4 go to what follows
+    assert all(got[d] / n > -0.1 for d, n in zip(out, subwords))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_texts_learned_twice_are_likelier(spark):
     docs = samples.documents(spark).select("doc_id", "text").where("length(text) between 400 and 3000")
